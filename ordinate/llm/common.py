@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Texts that are Python objects at a time, in bytes; a batch comes in slices of about so many.
+SLICE_BYTES = 4_000_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +55,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def slices(batches: Iterator[pa.RecordBatch], position: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES of one column, a row at least."""
+    for batch in batches:
+        step = max(1, int(SLICE_BYTES * batch.num_rows / max(1, batch.column(position).nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Fewer rows in an Arrow batch than by default, for texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def map_column(df: DataFrame, column: str, out: str, make: Callable[[], Callable], binary: bool = False) -> DataFrame:
     """Append to ``df`` what a Python function makes of one text column.
 
@@ -62,10 +77,11 @@ def map_column(df: DataFrame, column: str, out: str, make: Callable[[], Callable
     """
     added = StructType.fromDDL(out)
     position = df.columns.index(column)
+    bound_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in slices(batches, position):
             values = batch.column(position)
             if binary:
                 values = values.cast(pa.binary())
@@ -86,9 +102,11 @@ def rewrite_texts(df: DataFrame, make: Callable[[], Callable], text: str = "text
     position = names.index(text)
     at_size = names.index(size) if size in names and df.schema[size].dataType.typeName() in ("long", "integer") else None
 
+    bound_batches(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in slices(batches, position):
             old = batch.column(position).to_pylist()
             new, keep = function(old)
             columns = list(batch.columns)

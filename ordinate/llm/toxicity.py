@@ -30,8 +30,9 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     if not len(y) or y.min() == y.max():
         return {"bucket": np.zeros(0, np.int64), "weight": np.zeros(0), "bias": 30.0 if len(y) and y[0] else -30.0}
     is_letter = letters()
-    rows = [features(t, is_letter) for t in texts]
-    count = [np.bincount(np.concatenate([r for r, label in zip(rows, y) if label == c]), minlength=1 << BITS).astype(float) for c in (0, 1)]
+    count = np.zeros((2, 1 << BITS))
+    for text, label in zip(texts, labels):
+        count[label][features(text, is_letter)] += 1
     total = [float((y == c).sum()) for c in (0, 1)]
     # the ratio of document frequencies, smoothed by the overall frequency
     overall = (count[0] + count[1]) / len(y)
@@ -46,7 +47,8 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     chosen = np.sort(order[:size])
     slot = np.full(1 << BITS, -1, np.int64)
     slot[chosen] = np.arange(size)
-    small = [s[s >= 0] for s in (slot[r] for r in rows)]
+    # features are made a second time, and only the chosen ones kept
+    small = [s[s >= 0] for s in (slot[features(t, is_letter)] for t in texts)]
     weight = np.where(y == 1, len(y) / total[1] / 2, len(y) / total[0] / 2) ** 0.5
     w, bias = fit_logistic(small, y, weight, ratio[chosen])
     return {"bucket": chosen, "weight": w * ratio[chosen], "bias": bias}
