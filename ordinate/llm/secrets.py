@@ -20,7 +20,8 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: What makes a context sensitive for the novelty test, besides WORDS.
 CONTEXT = (*WORDS, "credential", "bearer", "passphrase", "private_key", "private key", "privatekey", "access_key", "access key", "accesskey", "authorization", "signing", "pwd")
 SENSITIVE = re.compile("(?ai:" + "|".join(CONTEXT) + ")")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 #: A candidate starts at most so many characters after a sensitive word; so much text around it primes the compressor.
 REACH, AROUND = 64, 512
 #: Marginal compressed bytes for each character from which a candidate is reported.
@@ -75,24 +76,21 @@ class Novelty:
         return (len(self.compress(around + piece)) - len(self.compress(around))) / len(piece)
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates after a sensitive word that hold letters and digits, overlap no base span and don't compress."""
+        """All candidates after a sensitive word that hold letters and digits, overlap no base span and don't compress."""
         low = text.encode("utf-8", "replace").lower()
         if not any(w.encode() in low for w in CONTEXT):
             return []
         found, tried = [], set()
         for m in SENSITIVE.finditer(text):
-            c = CANDIDATE.search(text, m.end(), m.end() + REACH)
-            if not c:
-                continue
-            start = c.start()
-            whole = CANDIDATE.match(text, start)  # it may go on beyond the reach
-            end = whole.end()
-            if start in tried or any(s < end and start < e for s, _, e in known):
-                continue
-            tried.add(start)
-            piece = text[start:end]
-            if any(ch.isdigit() for ch in piece) and any(ch.isalpha() for ch in piece) and self.per_character(text, start, end) >= NOVELTY:
-                found.append((start, 3, end))
+            for c in CANDIDATE.finditer(text, m.end(), m.end() + REACH + LEAST):
+                start = c.start()
+                end = CANDIDATE.match(text, start).end()  # it may go on beyond what was searched
+                if start in tried or any(s < end and start < e for s, _, e in known):
+                    continue
+                tried.add(start)
+                piece = text[start:end]
+                if any(ch.isdigit() for ch in piece) and any(ch.isalpha() for ch in piece) and self.per_character(text, start, end) >= NOVELTY:
+                    found.append((start, 3, end))
         return found
 
 

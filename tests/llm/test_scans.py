@@ -49,6 +49,15 @@ def test_secret_edges(spark):
     assert secrets.scan(docs.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("before, key", [
+    ("password_hash_salt_value = '", "q8ZrT3kLm0Xv7Yp2Nd5W"), ("credentials_provider_key: ", "q8ZrT3kLm0Xv7Yp2Nd5W"), ("secret_key_for_production = ", "zQ9xK2mV7tLp4RwS8nYb"), ("the secret for payment-service-eu is ", "zQ9xK2mV7tLp4RwS8nYb"),
+    ("bearer " + "x" * 55 + " ", "zQ9xK2mV7tLp4RwS8nYb"), ("secret_key_for_production " + "hash=q8ZrT3kLm0Xv7Yp2Nd5W and ", "zQ9xK2mV7tLp4RwS8nYb"),
+])
+def test_every_candidate_in_reach_is_measured(before, key):
+    text = f"{before}{key}\n"
+    assert (len(before), 3, len(before) + len(key)) in secrets.Novelty().spans(text, secrets.base_spans(text))
+
+
 def plain_decontam(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hit, ids = set(), set()
