@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,41 @@ IDENTIFIERS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ example_value changeme placeholder your_token_here xxxxxxxxxxxx"
 )
 
+#: Ordinary words of several languages; with IDENTIFIERS they give the letter pairs that words are made of.
+ORDINARY = (
+    "the and that have with this from they will would there their what about which when make like time just know take people into year your good some could them than then look only come over "
+    "think also back after work first well even want because these give most information international development government environment management organization communication responsibility "
+    "understanding characteristic administration establishment straightforward university knowledge relationship performance available different important experience technology application "
+    "der die und das ist nicht ein eine mit von sich auf auch nach wird bei einer durch kann haben werden oder aber noch zwischen immer wieder schon unter gegen diese jahre zeit arbeit entwicklung "
+    "verantwortung gesellschaft wissenschaft unternehmen verwaltung benutzer einstellung moeglichkeit geschwindigkeit zusammenarbeit beschreibung sicherheit schluessel unabhaengig veroeffentlichung "
+    "les des est une que dans pour pas sur avec tout plus son qui sont mais comme nous vous leur elle faire etre deux aussi bien sans peut ces annees temps developpement gouvernement environnement "
+    "connaissance responsabilite utilisateur administration entreprise societe naturellement particulierement aujourd beaucoup toujours chaque quelque question travail monde nouveau grande pensee "
+    "los las del que por con para una como mas pero sus este cuando muy sin sobre tambien hasta hay donde quien desde todo nos durante todos uno ella entre ser otros fue tiempo desarrollo gobierno "
+    "conocimiento responsabilidad usuario administracion empresa sociedad naturalmente universidad informacion comunicacion trabajo mundo nuevo contrasena seguridad aplicacion investigacion siempre"
+)
+
+
+def _letter_pairs() -> dict[str, float]:
+    """Bits that a letter takes after the one before it, for pairs in words; unseen pairs have a tenth of a count."""
+    n, after = {}, {}
+    for word in re.findall("[a-z]+", (ORDINARY + " " + IDENTIFIERS.replace("abcdefghijklmnopqrstuvwxyz", "").replace("xxxxxxxxxxxx", "")).lower()):
+        for a, b in zip(word, word[1:]):
+            n[a + b], after[a] = n.get(a + b, 0) + 1, after.get(a, 0) + 1
+    return {a + b: -math.log2((n.get(a + b, 0) + 0.1) / (after.get(a, 0) + 2.6)) for a in string.ascii_lowercase for b in string.ascii_lowercase}
+
+
+PAIRS = _letter_pairs()
+#: Letters that take so many bits each, by their pairs, aren't words (even letters: log2 26 = 4.7 bits and more).
+WORD_BITS = 5.0
+
+
+def of_words(piece: str) -> bool:
+    """Whether a run without digits is made of words, as identifiers, paths and prose are."""
+    if any(ch.isdigit() for ch in piece):
+        return False
+    bits = [PAIRS[part[k : k + 2]] for part in re.findall("[a-z]+", piece.lower()) for k in range(len(part) - 1)]
+    return not any(ch.isalpha() for ch in piece) or bool(bits) and sum(bits) / len(bits) < WORD_BITS
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base patterns."""
@@ -76,7 +113,7 @@ class Novelty:
         return (len(self.compress(around + piece)) - len(self.compress(around))) / len(piece)
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """All candidates after a sensitive word that hold letters and digits, overlap no base span and don't compress."""
+        """All candidates after a sensitive word that overlap no base span, aren't made of words only and don't compress."""
         low = text.encode("utf-8", "replace").lower()
         if not any(w.encode() in low for w in CONTEXT):
             return []
@@ -89,7 +126,7 @@ class Novelty:
                     continue
                 tried.add(start)
                 piece = text[start:end]
-                if any(ch.isdigit() for ch in piece) and any(ch.isalpha() for ch in piece) and self.per_character(text, start, end) >= NOVELTY:
+                if not of_words(piece) and self.per_character(text, start, end) >= NOVELTY:
                     found.append((start, 3, end))
         return found
 
@@ -102,6 +139,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     Positions are code points, the end exclusive; a span is the whole match.
+    Novel spans are runs after a sensitive word, with or without digits, whose
+    compressed size is near their length; runs without digits whose letter pairs
+    are those of words aren't reported, nor are random ones that compress below NOVELTY.
     Null and empty texts have none; repeated rows are judged alike.
     """
 

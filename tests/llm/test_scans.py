@@ -58,6 +58,17 @@ def test_every_candidate_in_reach_is_measured(before, key):
     assert (len(before), 3, len(before) + len(key)) in secrets.Novelty().spans(text, secrets.base_spans(text))
 
 
+@pytest.mark.parametrize("key", ["QwXzKpLmVtRbNcYd", "hqzxvkwpjgtbfqmd", "839201746528", "ZKQXJVWPGHTRBNMCLD", "fGqZ-xWvK-pJtR-bHkQ"])
+def test_candidates_without_digits_or_letters(key):
+    text = f"the passphrase is {key} for now"
+    assert secrets.Novelty().spans(text, []) == [(18, 3, 18 + len(key))]
+
+
+@pytest.mark.parametrize("words", ["internationalization", "Verantwortlichkeit", "responsabilidades", "getUserAccountManager", "payment-service-eu", "/usr/local/share/ca-certificates", "secret_key_for_production", "straightforward", "=" * 30, "_-_.+/=._-+/"])
+def test_words_are_no_candidates(words):
+    assert secrets.Novelty().spans(f"the passphrase is {words} for now", []) == []
+
+
 def plain_decontam(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hit, ids = set(), set()
