@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import sys
+from collections.abc import Generator
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +29,8 @@ IMPLIED = {
     "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
 }
-DEEPEST = 200
+#: Lists, quotes and table cells nested deeper keep their text and markers, without indentation and columns (the output would grow with the square of the depth).
+LEVELS = 512
 
 
 class Node:
@@ -48,21 +49,30 @@ class Node:
 def parse(html: str) -> tuple[Node, list[str]]:
     """The tree and the contents of its style elements.
 
-    Elements nested deeper than DEEPEST become siblings at that depth, as in browsers; no text is lost.
+    Elements may be nested to any depth.
     """
     root = Node("html")
     stack, styles, at = [root], [], 0
+    places: dict[str, list[int]] = {}  # of the open elements but the root, by tag
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags, stops) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                # an element ends with the outermost of its kind before the stop
-                while i > 1 and stack[i - 1].tag in tags:
-                    i -= 1
-                del stack[i:]
-                return
-            if stack[i].tag in stops:
-                return
+        i = last(tags)
+        if i > last(stops):
+            # an element ends with the outermost of its kind before the stop
+            while i > 1 and stack[i - 1].tag in tags:
+                i -= 1
+            cut(i)
 
     while m := TOKEN.search(html, at):
         if m.start() > at:
@@ -77,12 +87,9 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 stack[-1].children.append(Node("br"))
             else:
                 stops = ("table",) if tag in ("p", "li", "div", "ul", "ol", "span") else ()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in stops:
-                        break
+                i = last((tag,))
+                if i > last(stops):
+                    cut(i)
             continue
         if tag in ("html", "body"):
             root.attrs += " " + attrs
@@ -93,12 +100,12 @@ def parse(html: str) -> tuple[Node, list[str]]:
             close(("p",), ("table", "td", "th", "button", "object", "caption"))
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        if tag not in NEVER and stack[-1].tag == "head":
-            stack.pop()
+        if tag not in NEVER and stack[-1].tag == "head" and len(stack) > 1:
+            cut(len(stack) - 1)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in END:
@@ -108,8 +115,8 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 styles.append(body)
             node.children.append(unescape(body) if tag in ("title", "textarea") else body)
             at = end.end() if end else len(html)
-        elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")) and len(stack) < DEEPEST:
-            stack.append(node)
+        elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")):
+            push(node)
     if at < len(html):
         stack[-1].children.append(unescape(html[at:]))
     return root, styles
@@ -137,7 +144,8 @@ class Hidden:
 class Lines:
     """Lines in the making; a margin is one empty line between blocks."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int = 0) -> None:
+        self.level = level
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.gap = False
@@ -177,7 +185,21 @@ def _number(text: str, default: int) -> int:
     return int(text) if re.fullmatch(r"-?[0-9]{1,6}", text) else default
 
 
-def render(node: Node, hidden: Hidden, out: Lines, pre: bool = False) -> None:
+def run(step: Generator):
+    """Run a generator that yields generators for what it needs, and gets their results; so depth takes no recursion."""
+    steps, value = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(value))
+            value = None
+        except StopIteration as end:
+            steps.pop()
+            value = end.value
+    return value
+
+
+def render(node: Node, hidden: Hidden, out: Lines, pre: bool = False) -> Generator:
+    flat = out.level >= LEVELS
     for child in node.children:
         if isinstance(child, str):
             out.text(child, pre)
@@ -188,14 +210,14 @@ def render(node: Node, hidden: Hidden, out: Lines, pre: bool = False) -> None:
             continue
         if hidden(child):
             continue
-        if tag == "table":
+        if tag == "table" and not flat:
             out.margin()
-            out.add(table_lines(child, hidden))
+            out.add((yield table_lines(child, hidden, out.level + 1)))
             out.margin()
-        elif tag in ("ul", "ol", "menu", "dir"):
+        elif tag in ("ul", "ol", "menu", "dir") and not flat:
             nested = node.tag == "li"
             out.flush() if nested else out.margin()
-            items = list_lines(child, hidden, tag == "ol")
+            items = yield list_lines(child, hidden, tag == "ol", out.level + 1)
             if items:
                 out.add(items)
             out.flush() if nested else out.margin()
@@ -203,47 +225,49 @@ def render(node: Node, hidden: Hidden, out: Lines, pre: bool = False) -> None:
             out.flush()
             for x in child.children:
                 if isinstance(x, Node) and x.tag == "summary" and not hidden(x):
-                    render(x, hidden, out, pre)
+                    yield render(x, hidden, out, pre)
                     break
             out.flush()
         elif tag in BLOCK:
             out.margin() if tag in MARGIN else out.flush()
-            if tag in ("blockquote", "dd"):
-                inner = Lines()
-                render(child, hidden, inner, pre)
+            if flat and tag == "li":
+                out.text("- ", True)
+            if tag in ("blockquote", "dd") and not flat:
+                inner = Lines(out.level + 1)
+                yield render(child, hidden, inner, pre)
                 inner.flush()
                 if inner.lines:
                     out.add(["  " + x if x else x for x in inner.lines])
             else:
-                render(child, hidden, out, pre or tag == "pre")
+                yield render(child, hidden, out, pre or tag == "pre")
             out.margin() if tag in MARGIN else out.flush()
         elif tag == "q":
             out.text('"', pre)
-            render(child, hidden, out, pre)
+            yield render(child, hidden, out, pre)
             out.text('"', pre)
         elif tag not in VOID:
-            render(child, hidden, out, pre)
+            yield render(child, hidden, out, pre)
 
 
-def _inner(node: Node, hidden: Hidden) -> list[str]:
-    inner = Lines()
-    render(node, hidden, inner)
+def _inner(node: Node, hidden: Hidden, level: int) -> Generator:
+    inner = Lines(level)
+    yield render(node, hidden, inner)
     inner.flush()
     return inner.lines
 
 
-def list_lines(node: Node, hidden: Hidden, ordered: bool) -> list[str]:
+def list_lines(node: Node, hidden: Hidden, ordered: bool, level: int) -> Generator:
     """A marker before each item, and its other lines indented as far."""
     out, number = [], _number(node.get().get("start", ""), 1) if node.attrs else 1
     loose = Node("li")
     for child in [*node.children, None]:
         if isinstance(child, Node) and child.tag == "li" or child is None:
             if loose.children:
-                out += _inner(loose, hidden)
+                out += yield _inner(loose, hidden, level)
                 loose = Node("li")
             if child is None or hidden(child):
                 continue
-            lines = _inner(child, hidden)
+            lines = yield _inner(child, hidden, level)
             mark = f"{number}. " if ordered else "- "
             number += 1
             if lines:
@@ -253,13 +277,13 @@ def list_lines(node: Node, hidden: Hidden, ordered: bool) -> list[str]:
     return out
 
 
-def table_lines(node: Node, hidden: Hidden) -> list[str]:
+def table_lines(node: Node, hidden: Hidden, level: int) -> Generator:
     """Rows with cells padded to their columns' widths, two spaces apart; a cell of several lines takes several lines."""
     out: list[str] = []
     rows: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[tuple[int, int], bool] = {}
 
-    def walk(n: Node) -> None:
+    def walk(n: Node) -> Generator:
         for child in n.children:
             if isinstance(child, str):
                 if child.strip():
@@ -267,7 +291,7 @@ def table_lines(node: Node, hidden: Hidden) -> list[str]:
             elif hidden(child):
                 continue
             elif child.tag in ("tbody", "thead", "tfoot"):
-                walk(child)
+                yield walk(child)
             elif child.tag == "tr":
                 row, column, r = [], 0, len(rows)
                 for cell in child.children:
@@ -284,15 +308,15 @@ def table_lines(node: Node, hidden: Hidden) -> list[str]:
                     for i in range(1, high):
                         for j in range(wide):
                             taken[r + i, column + j] = True
-                    row.append((column, wide, _inner(cell, hidden)))
+                    row.append((column, wide, (yield _inner(cell, hidden, level))))
                     column += wide
                 rows.append(row)
             else:
                 holder = Node("div")
                 holder.children.append(child)
-                out.extend(_inner(holder, hidden))
+                out.extend((yield _inner(holder, hidden, level)))
 
-    walk(node)
+    yield walk(node)
     width: dict[int, int] = {}
     for row in rows:
         for column, wide, lines in row:
@@ -319,7 +343,7 @@ def extract(html: str | None) -> str | None:
         if hidden(root):
             return ""
     out = Lines()
-    render(root, hidden, out)
+    run(render(root, hidden, out))
     out.flush()
     return "\n".join(out.lines).strip("\n")
 
@@ -333,13 +357,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
 
     def make():
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
-
-        def run(texts):
+        def extract_all(texts):
             done = [extract(t) for t in texts]
             return [pa.array(done, pa.string()), pa.array([len(t or "") for t in done], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in done], pa.int64())]
 
-        return run
+        return extract_all
 
     return map_column(pages.select("page_id", F.col("html").cast("string").alias("html")), "html", "text string, n_chars long, n_lines long", make).drop("html")
 

@@ -124,6 +124,20 @@ def test_html(source, expected):
     assert html.extract(source) == expected
 
 
+@pytest.mark.parametrize("source, expected", [
+    ("<div>" * 300 + "<div hidden>no<b>no</b></div><p style='display:none'>no</p><template>no</template>yes", "yes"), ("<div>" * 300 + "<ol><li>a<li>b</ol><table><tr><td>long<td>x<tr><td>y<td>z</table><pre>p\n  q</pre>", "1. a\n2. b\n\nlong  x\ny     z\n\np\n  q"),
+    ("<div hidden>" + "<div>" * 300 + "</div>" * 300 + "no</div>yes", "yes"), ("<font><span>" * 300 + "<div hidden>no</div><ul><li>a</ul>", "- a"), ("<div hidden>" + "<b>" * 5000 + "no", ""),
+    ("<div>" * 100_000 + "<div hidden>no</div>deep" + "</div>" * 100_000 + "<p>z", "deep\n\nz"), ("<p>" + "<b>" * 100_000 + "x" + "<div>y" * 2000, "x\n\n" + "\n".join("y" * 2000)),
+])
+def test_html_at_any_depth(source, expected):
+    assert html.extract(source) == expected
+
+
+@pytest.mark.parametrize("source", ["<ul><li>x", "<table><tr><td>x", "<blockquote>x", "<table><tbody>", "<div>x"])
+def test_html_keeps_the_text_of_deep_layout(source):
+    assert html.extract(source * 3000 + "<i hidden>no</i>").count("x") == 3000 * source.count("x")
+
+
 def test_html_deep_and_empty(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<div>" * 5000 + "deep" + "<ul><li>" * 3000 + "er"), (None, "<p>x")], "page_id long, html string").withColumn("text", F.lit(0))
     found = {r["page_id"]: r for r in html.extract_pages(pages).collect()}
