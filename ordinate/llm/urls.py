@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import ChainMap
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.llm.common import ASCII_LOWER, ASCII_UPPER, table
+from ordinate.llm.common import ASCII_LOWER, ASCII_UPPER, checkpoint, table
 
 #: (rule, verdict); a rule is a host with a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -47,21 +48,32 @@ EXAMPLES = (
 PIECE = re.compile(r"[a-z]+")
 #: What is no evidence about a site: technical labels and public suffixes.
 PLAIN = frozenset("www m com net org co uk edu gov info html htm php asp aspx example http https".split())
-LONGEST_WORD, LONGEST_NAME = 24, 253
-#: Corpus words of the segmenter: those seen in so many distinct hosts and paths; at most so many, the most frequent.
-LEAST_SEEN, LEXICON = 50, 200_000
+LONGEST_WORD = 24
+#: A corpus word of the segmenter is one seen in so many distinct hosts and paths (a name seen less is no word, else no name would be segmented).
+LEAST_SEEN = 50
+#: Up to so many corpus words go to all tasks; more are joined to the names that hold them.
+LEXICON = 200_000
 
 
-def lexicon(corpus: dict[str, int] | None = None) -> dict[str, float]:
-    """Word -> log probability, of the built-in list and what the corpus adds."""
+def counted(corpus: dict[str, int] | None = None) -> dict[str, float]:
+    """Word -> count, of the built-in list and what the corpus adds."""
     pairs = COMMON.split()
     count: dict[str, float] = {}
     for word, n in zip(pairs[::2], pairs[1::2]):
         count[word] = count.get(word, 0) + int(n) * 1000
     for word, n in (corpus or {}).items():
         count[word] = count.get(word, 0) + n
-    total = sum(count.values())
-    return {w: math.log(n / total) for w, n in count.items()}
+    return count
+
+
+def lexicon_total(corpus: dict[str, int] | None = None, extra: int = 0) -> float:
+    return sum(counted(corpus).values()) + extra
+
+
+def lexicon(corpus: dict[str, int] | None = None, extra: int = 0) -> dict[str, float]:
+    """Word -> log probability; ``extra`` is the count of further corpus words."""
+    total = lexicon_total(corpus, extra)
+    return {w: math.log(n / total) for w, n in counted(corpus).items()}
 
 
 def segment(name: str, logp: dict[str, float], floor: float | None = None) -> list[str]:
@@ -88,8 +100,7 @@ def tokens(host: str, path: str, logp: dict[str, float]) -> list[str]:
     for mark, text in (("h:", host), ("p:", path)):
         for piece in PIECE.findall(text.lower()):
             if piece not in PLAIN and len(piece) > 1:
-                for start in range(0, len(piece), LONGEST_NAME):  # a longer piece is no name; its parts are segmented alone
-                    out += [mark + w for w in segment(piece[start : start + LONGEST_NAME], logp)]
+                out += [mark + w for w in segment(piece, logp)]
     return out
 
 
@@ -144,48 +155,94 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def corpus_words(split_urls: DataFrame) -> dict[str, int]:
-    """Words that many distinct hosts and paths hold between other characters than letters; counts over all rows.
+def corpus_words(split_urls: DataFrame) -> DataFrame:
+    """(word, n): words that many distinct hosts and paths hold between other characters than letters; counts over all rows.
 
     Hosts and paths are made distinct first, and counts are added up before they move.
     """
     names = split_urls.select(F.explode(F.array("host", "path")).alias("name")).distinct()
     pieces = names.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{2,24})"), 1))).alias("word"))
-    seen = pieces.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    return {r["word"]: r["n"] for r in seen.orderBy(F.desc("n"), "word").limit(LEXICON).collect() if r["word"] not in PLAIN}
+    return pieces.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_SEEN) & ~F.col("word").isin(*sorted(PLAIN)))
+
+
+def new_words(seen: DataFrame) -> DataFrame:
+    """Without the words that are made up of built-in ones; those stay concatenated, to be segmented."""
+    built_in = lexicon()
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([any(x not in built_in for x in segment(w, built_in)) for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    return seen.mapInArrow(keep, "word string, n long")
+
+
+def substrings(pieces: Column) -> Column:
+    """Distinct parts of 2 to LONGEST_WORD letters of an array of pieces."""
+
+    def parts_of(piece):
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), F.length(piece) - i + 1)), lambda k: F.substring(piece, i, k))))
+
+    return F.array_distinct(F.flatten(F.transform(pieces, parts_of)))
+
+
+def with_words(ruled: DataFrame, words: DataFrame) -> DataFrame:
+    """Add ``found``: the corpus words, with counts, that a row's host and path hold anywhere."""
+    names = ruled.select("host", "path").distinct()
+    pieces = F.concat(*[F.regexp_extract_all(F.lower(c), F.lit("([a-z]{2,})"), 1) for c in ("host", "path")])
+    held = names.select("host", "path", F.explode(substrings(pieces)).alias("word")).join(words, "word")
+    found = held.groupBy("host", "path").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return ruled.join(found, ["host", "path"], "left").select(*ruled.columns, "found")
 
 
-def judge(pages: DataFrame, rules=RULES, corpus: dict[str, int] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, corpus: dict[str, int] | None = None, most: int = LEXICON) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, score, words.
 
     A rule's verdict stands; otherwise a score above zero blocks.  Null urls
     and those without ``://`` have an empty host and path and are allowed unless
     a rule says otherwise.  Repeated rows are judged alike; other columns aren't read.
+    The segmenter knows the built-in words and all corpus words; beyond ``most`` of
+    these they are joined to the names instead of sent to all tasks.
     """
     urls = pages.select("page_id", F.col("url").cast("string").alias("__url"))
     host, path = parts(F.col("__url"))
     split_urls = urls.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split_urls.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"))
-    seen, built_in = corpus_words(split_urls) if corpus is None else corpus, lexicon()
-    # a corpus word that is made up of known words stays concatenated, to be segmented
-    logp = lexicon({w: n for w, n in seen.items() if any(x not in built_in for x in segment(w, built_in))})
+    built_in, joined = lexicon(), False
+    if corpus is None:
+        seen = corpus_words(split_urls)
+        rows = seen.limit(most + 1).collect()
+        joined = len(rows) > most
+        corpus = {} if joined else {r["word"]: r["n"] for r in rows}
+    known_words = {w: n for w, n in corpus.items() if any(x not in built_in for x in segment(w, built_in))}
+    extra = 0
+    if joined:
+        words = checkpoint(new_words(seen))
+        in_examples = {p[i:j] for url, _ in EXAMPLES for p in PIECE.findall(url.lower()) for i in range(len(p)) for j in range(i + 2, min(len(p), i + LONGEST_WORD) + 1)}
+        known_words = {r["word"]: r["n"] for r in words.where(F.col("word").isin(*sorted(in_examples))).collect()}
+        extra = (words.agg(F.sum("n")).first()[0] or 0) - sum(known_words.values())
+        ruled = with_words(ruled, words)
+    else:
+        ruled = ruled.withColumn("found", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
+    logp = lexicon(known_words, extra)
+    total = lexicon_total(known_words, extra)
     model = train(logp)
 
     def run(batches):
         known: dict[tuple[str, str], tuple[float, str]] = {}
         for batch in batches:
             scores, words = [], []
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for h, p, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5).to_pylist()):
                 pieces = tuple(x for x in PIECE.findall(p.lower()))
                 if (h, pieces) not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[h, pieces] = score(h, p, logp, model), " ".join(t[2:] for t in tokens(h, p, logp))
+                    own = ChainMap({x["word"]: math.log(x["n"] / total) for x in found}, logp) if found else logp
+                    known[h, pieces] = score(h, p, own, model), " ".join(t[2:] for t in tokens(h, p, own))
                 s, w = known[h, pieces]
                 scores.append(s)
                 words.append(w)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(words, pa.string())], names=[*batch.schema.names, "score", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.float64()), pa.array(words, pa.string())], names=[*batch.schema.names[:5], "score", "words"])
 
     shape = f"page_id {ruled.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, says string, score double, words string"
     judged = ruled.mapInArrow(run, shape)

@@ -185,6 +185,16 @@ def test_segmentation_is_the_most_probable():
         assert math.isclose(sum(logp.get(w, -12.0 - 2.3 * len(w)) for w in urls.segment(name, logp)), best(name))
 
 
+def test_all_corpus_words_count_and_long_pieces_stay_whole(spark):
+    rows = [(k, f"http://{w}.h{k}.example.com/{v}/{k}") for k in range(120) for w, v in [(("zorbal", "quixen", "wuffle")[k % 2], "wuffle")]]
+    rows += [(1000, "http://zorbalquixen.example.com/wufflezorbal"), (1001, "http://casino.example.com/x" + "q" * 250 + "jackpot"), (None, "http://quixenwuffle.example.com/"), (1002, None), (1000, "http://zorbalquixen.example.com/wufflezorbal")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    sent, joined = (sorted(map(str, urls.judge(pages, most=m).collect())) for m in (urls.LEXICON, 1))
+    assert joined == sent and len(sent) == len(rows)
+    for r in urls.judge(pages, most=1).where("page_id >= 1000").collect():
+        assert r["words"].endswith({1000: "zorbal quixen wuffle zorbal", 1001: "jackpot", 1002: ""}[r["page_id"]])
+
+
 def test_mixing_draws(spark, monkeypatch):
     rows = [(k, f"t{k}", "big" if k % 4 else None, k) for k in range(4000)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("copy", F.lit("mine"))
