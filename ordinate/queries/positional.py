@@ -164,6 +164,12 @@ def rolling_average(t: Tables):
     return _events(t).stats.rolling_sum(5, "value").select(lambda r: {"event_id": r.event_id, "rolling_average": F.round(r.rolling_sum.cast("double") / 5, 6)})
 
 
+@query("SELECT l_orderkey, l_linenumber, round(product(1 + (l_discount::DOUBLE - 0.05) / 10000) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate), 6) AS p FROM lineitem")
+def cumulative_product_whole(t: Tables):
+    growth = t.lineitem.stats.cumulative_product(lambda r: 1 + (r.l_discount.cast("double") - 0.05) / 10000)
+    return growth.select(lambda r: {"l_orderkey": r.l_orderkey, "l_linenumber": r.l_linenumber, "p": F.round(r.cumulative_product, 6)})
+
+
 @query("SELECT event_id, max(value) OVER w - min(value) OVER w AS value FROM events WINDOW w AS (ORDER BY event_id ROWS 9 PRECEDING) QUALIFY row_number() OVER (ORDER BY event_id) >= 10")
 def rolling_window(t: Tables):
     s = t.events.select(("event_id", "value"))

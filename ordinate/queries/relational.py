@@ -214,6 +214,11 @@ def full_outer_join(t: Tables):
     return a.join.full_outer_join(b, "o_orderkey", "o_orderkey", lambda x, y: {"o": x.o_orderkey, "n": y.o_orderstatus}, default_outer={"o_orderkey": -1}, default_inner={"o_orderstatus": "?"})
 
 
+@query("SELECT coalesce(o_orderkey, -1) AS o, coalesce(l_linenumber, -1) AS line FROM orders FULL JOIN lineitem ON o_orderkey = l_orderkey")
+def full_outer_join_whole(t: Tables):
+    return t.orders.join.full_outer_join(t.lineitem, "o_orderkey", "l_orderkey", lambda o, i: {"o": o.o_orderkey, "line": i.l_linenumber}, default_outer={"o_orderkey": -1}, default_inner={"l_linenumber": -1})
+
+
 @query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS n, coalesce(spent, 0)::DOUBLE AS spent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS spent FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def group_join(t: Tables):
     return t.customer.join.group_join(
