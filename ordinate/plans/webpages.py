@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import count
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -165,14 +166,14 @@ def summary(classified: DataFrame, links: DataFrame) -> DataFrame:
     return joined.groupBy("type").agg(F.count("*").alias("page_count"), F.avg("confidence").alias("avg_confidence"), F.count_if(F.col("n_links") > 0).alias("pages_with_links"), F.avg("n_links").alias("avg_links_per_page")).orderBy(F.desc("page_count"), "type")
 
 
-def crawl(pages: DataFrame, links: DataFrame, start: list[str], budget: int = 100, rounds: int = 20) -> DataFrame:
-    """(url, round) of the pages reached from ``start`` by links, level by level, at most ``budget``."""
+def crawl(pages: DataFrame, links: DataFrame, start: list[str], budget: int = 100, rounds: int | None = None) -> DataFrame:
+    """(url, round) of the pages reached from ``start`` by links, level by level, at most ``budget``; until no page is new if ``rounds`` is None."""
     from ordinate.plans.checkpoints import checkpoint
 
     known = pages.select("page_id", "url")
     frontier = checkpoint(known.where(F.col("url").isin(start)).withColumn("round", F.lit(0)))
     seen = frontier
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         left = budget - seen.count()
         if left <= 0 or frontier.isEmpty():
             break

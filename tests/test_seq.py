@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordinate import sources
-from ordinate.plans import position
+from ordinate.plans import position, webpages
 from ordinate.seq import Seq
 from ordinate.sources.generator import from_json, from_schema, infer_schema
 
@@ -217,3 +217,9 @@ def test_stream(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert {(r["k"], r["total"]) for r in spark.sql("SELECT * FROM windows").collect()} == {("a", 3), ("b", 3)}
+
+
+def test_crawl_follows_links_until_none_is_new(spark):
+    pages = spark.range(24).selectExpr("id AS page_id", "concat('http://a.org/', id) AS url").coalesce(1)
+    links = spark.range(23).selectExpr("id AS page_id", "concat('http://a.org/', id + 1) AS link").coalesce(1)
+    assert webpages.crawl(pages, links, ["http://a.org/0"]).agg(F.max("round")).first()[0] == 23
