@@ -149,6 +149,24 @@ def fields(rows: DataFrame, dominant: DataFrame, samples: int = 10) -> DataFrame
     return kept.groupBy("page_id", "field_path").agg(F.count("*").alias("n")).join(total, "page_id").where(F.col("n") >= F.col("samples") * 0.5).select("page_id", "field_path", (F.col("n") / F.col("samples")).alias("rate"))
 
 
+def data_items(rows: DataFrame, dominant: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for each element of a page's dominant pattern that has a text in a found field: page_id, node, items (field path -> text of its first element there)."""
+    step = F.regexp_replace(F.concat_ws(".", F.col("tag"), F.array_join(F.slice("classes", 1, 2), ".")), r"\.$", "")
+    tops = rows.join(dominant.select("page_id", "signature"), ["page_id", "signature"]).select("page_id", F.col("node").alias("top_node"), F.col("path").alias("top"))
+    below = rows.withColumn("step", step).join(tops, "page_id").where(F.slice("path", 1, F.size("top")) == F.col("top")).select("page_id", "top_node", "node", "path", "step", "text")
+    above = below.select("page_id", "top_node", F.col("path").alias("p"), F.col("step").alias("s"))
+    full = below.join(above, ["page_id", "top_node"]).where(F.slice("path", 1, F.size("p")) == F.col("p"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(F.size("p").alias("d"), "s"))), lambda x: x["s"])
+    texts = full.groupBy("page_id", "top_node", "node").agg(F.array_join(steps, ".").alias("field_path"), F.first("text").alias("text")).where("text <> ''")
+    first = texts.join(found.select("page_id", "field_path"), ["page_id", "field_path"]).groupBy("page_id", "top_node", "field_path").agg(F.min_by("text", "node").alias("text"))
+    return first.groupBy("page_id", F.col("top_node").alias("node")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_path", "text")))).alias("items"))
+
+
+def titles(rows: DataFrame) -> DataFrame:
+    """(page_id, title) of all elements, not only the body's: the text of the first title element."""
+    return rows.where("tag = 'title'").groupBy("page_id").agg(F.min_by("text", "node").alias("title"))
+
+
 def child_links(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct absolute links to the page's own host: (page_id, link)."""
     base = pages.select("page_id", F.regexp_extract("url", r"^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", r"^([a-z]+://[^?#]*/)", 1).alias("folder"))

@@ -255,6 +255,13 @@ def web_fields(t: Tables):
     return webpages.fields(rows, webpages.classify(rows).where("signature is not null"))
 
 
+@query()
+def web_items(t: Tables):
+    rows = webpages.with_signature(webpages.body_elements(webpages.elements(t.pages.df)))
+    dominant = webpages.classify(rows).where("signature is not null")
+    return webpages.data_items(rows, dominant, webpages.fields(rows, dominant))
+
+
 @query()
 def web_summary(t: Tables):
     rows = webpages.with_signature(webpages.body_elements(webpages.elements(t.pages.df)))

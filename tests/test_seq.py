@@ -223,3 +223,13 @@ def test_crawl_follows_links_until_none_is_new(spark):
     pages = spark.range(24).selectExpr("id AS page_id", "concat('http://a.org/', id) AS url").coalesce(1)
     links = spark.range(23).selectExpr("id AS page_id", "concat('http://a.org/', id + 1) AS link").coalesce(1)
     assert webpages.crawl(pages, links, ["http://a.org/0"]).agg(F.max("round")).first()[0] == 23
+
+
+def test_every_matching_element_gives_its_data_items(spark):
+    html = "<html><head><title>Shop</title></head><body><ul>" + "".join(f"<li class=x><b>n{k}</b><i>p{k}</i></li>" for k in range(13)) + "</ul></body></html>"
+    every = webpages.elements(spark.createDataFrame([(1, html), (2, None), (3, "<p>x")], "page_id long, html string"))
+    rows = webpages.with_signature(webpages.body_elements(every))
+    dominant = spark.createDataFrame([(1, rows.where("tag = 'li'").first()["signature"])], "page_id long, signature string")
+    items = webpages.data_items(rows, dominant, webpages.fields(rows, dominant)).orderBy("node").collect()
+    assert [r["items"] for r in items] == [{"li.x": f"n{k}p{k}", "li.x.b": f"n{k}", "li.x.i": f"p{k}"} for k in range(13)]
+    assert [tuple(r) for r in webpages.titles(every).collect()] == [(1, "Shop")]
