@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Texts that are Python objects at a time, in bytes; a batch comes in slices of about so many.
 SLICE_BYTES = 4_000_000
+#: Tasks over the texts of a bounded sample.
+SAMPLE_TASKS = 24
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +52,15 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int, count: int) -> DataFrame:
+    """The rows whose keys hash lowest: about 1.25 times ``rows`` of ``count`` distinct keys and a few more, all if they are few.
+
+    A filter in the scan, so that an exact top-k by hash needs to see no more than these.
+    """
+    share = 1.0 if rows >= count else min(1.0, (1.25 * rows + 200) / count)
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id's text (null: empty text) is divisible by 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -68,8 +79,8 @@ def bound_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
-def map_column(df: DataFrame, column: str, out: str, make: Callable[[], Callable], binary: bool = False) -> DataFrame:
-    """Append to ``df`` what a Python function makes of one text column.
+def map_column(df: DataFrame, column: str, out: str, make: Callable[[], Callable], binary: bool = False, drop: bool = False) -> DataFrame:
+    """Append to ``df`` what a Python function makes of one text column; ``drop``: the text doesn't come back.
 
     ``make()`` runs once in each task and gives a function from a list of texts
     (``bytes`` if ``binary``; None for null) to a list of Arrow arrays, one for
@@ -77,6 +88,7 @@ def map_column(df: DataFrame, column: str, out: str, make: Callable[[], Callable
     """
     added = StructType.fromDDL(out)
     position = df.columns.index(column)
+    kept = [k for k in range(len(df.columns)) if not (drop and k == position)]
     bound_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +98,9 @@ def map_column(df: DataFrame, column: str, out: str, make: Callable[[], Callable
             if binary:
                 values = values.cast(pa.binary())
             made = function(values.to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *added.names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *made], names=[*[batch.schema.names[k] for k in kept], *added.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+    return df.mapInArrow(run, StructType([*[df.schema.fields[k] for k in kept], *added.fields]))
 
 
 def rewrite_texts(df: DataFrame, make: Callable[[], Callable], text: str = "text", size: str = "n_chars") -> DataFrame:

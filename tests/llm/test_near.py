@@ -133,6 +133,41 @@ def test_nearest_edges(spark):
     assert ann.nearest(df.where("vec_id < 0"), df).count() == 0
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_nearest_on_tables(spark):
+    sf = Path("/root/testdata/sf0.1")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+    truth = brute(rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(np.float64))
+    found = {}
+    for r in ann.op1_ann(spark, str(sf)).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["rank"]
+    assert found.keys() == truth.keys() and all(sorted(v.values()) == list(range(1, 21)) for v in found.values())
+    assert sum(len(found[q].keys() & {a for a, _ in truth[q]}) for q in truth) / (20 * len(truth)) >= 0.9
+
+
+def test_nearest_of_hot_copies_and_many_lists(spark, monkeypatch):
+    """A third of all rows is one vector, one id repeats often, and shards are many; every query has its k rows."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "LEAST_SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(ann, "SEEDS", 50)
+    rng = np.random.default_rng(3)
+    n = 1500
+    x = rng.standard_normal((n, 24)).astype(np.float32).astype(np.float64)
+    x[: n // 3] = x[0]
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(n - 1, [float(v) for v in rng.standard_normal(24)]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    truth = brute(np.arange(n), x)
+    assert found.keys() == truth.keys() and all(len(v) == 20 == len({a for a, _ in v}) for v in found.values())
+    for q in range(0, n // 3, 20):
+        assert [a for a, _ in found[q]] == [a for a, _ in truth[q]]
+    others = [q for q in truth if q >= n // 3]
+    assert sum(len({a for a, _ in found[q]} & {a for a, _ in truth[q]}) for q in others) / (20 * len(others)) >= 0.85
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
 def test_pipeline(spark):
     """Each stage against plain code on what its predecessor kept."""
