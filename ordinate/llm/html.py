@@ -363,7 +363,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
         return extract_all
 
-    return map_column(pages.select("page_id", F.col("html").cast("string").alias("html")), "html", "text string, n_chars long, n_lines long", make).drop("html")
+    return map_column(pages.select("page_id", F.col("html").cast("string").alias("html")), "html", "text string, n_chars long, n_lines long", make, drop=True)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ordinate.llm.common import held_out, map_column, table
+from ordinate.llm.common import SAMPLE_TASKS, held_out, map_column, table
 from ordinate.llm.hashing import letters, spaced
 
 SIZES = (1, 2, 3)
@@ -50,30 +49,42 @@ def distances(doc: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarra
     at[at == len(known)] = 0
     hit = known[at] == doc
     out = np.full((len(doc), rank.shape[1]), LANGUAGE_RANKS, np.int64)
-    r = rank[at[hit]]
+    r = rank[at[hit]].astype(np.int64)
     out[hit] = np.where(r >= 0, np.abs(r - place[hit, None]), LANGUAGE_RANKS)
     return out.sum(axis=0)
 
 
 def language_profiles(docs: DataFrame, rows: int = TRAIN_ROWS_PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Profiles from text and non-null lang of documents that aren't held out; one task sums up a language's bounded sample."""
+    """Profiles from text and non-null lang of documents that aren't held out.
+
+    N-grams are counted where the sampled texts are, added up by key, and only
+    the most frequent of each language come to the driver.  Of rows that repeat
+    an id and language the least text counts.
+    """
     usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     # ids only: the window keeps the first rows of each partition before it shuffles
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("doc_id", "lang").distinct()
-    sample = usable.join(F.broadcast(chosen) if chosen.limit(200_001).count() <= 200_000 else chosen, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).select("doc_id", "lang")
+    sample = usable.join(F.broadcast(chosen) if chosen.limit(200_001).count() <= 200_000 else chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
-    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_letter, code, count = letters(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_letter = letters()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                c, n = counts(text, is_letter)
-                merged, where = np.unique(np.concatenate([code, c]), return_inverse=True)
-                code, count = merged, np.bincount(where, np.concatenate([count, n])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([pickle.dumps(profile(code, count, LANGUAGE_RANKS))], pa.binary())], names=["lang", "profile"])
-
-    found = sample.groupBy("lang").applyInArrow(summed, "lang string, profile binary").collect()
-    return {r["lang"]: pickle.loads(r["profile"]) for r in sorted(found, key=lambda r: r["lang"]) if len(pickle.loads(r["profile"]))}
+            by: dict[str, list] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(lang, []).append(counts(text, is_letter))
+            for lang, made in by.items():
+                code, where = np.unique(np.concatenate([c for c, _ in made]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n for _, n in made]), len(code)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+
+    added = sample.select("text", "lang").repartition(SAMPLE_TASKS, "text").mapInArrow(summed, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    top = added.withColumn("r", F.row_number().over(first)).where(F.col("r") <= LANGUAGE_RANKS).select("lang", "code", "r").collect()
+    found: dict[str, list[int]] = {}
+    for r in sorted(top, key=lambda r: (r["lang"], r["r"])):
+        found.setdefault(r["lang"], []).append(r["code"])
+    return {lang: np.array(code, np.uint64) for lang, code in found.items()}
 
 
 def predictor(profiles: dict[str, np.ndarray]):
@@ -85,7 +96,7 @@ def predictor(profiles: dict[str, np.ndarray]):
     """
     is_letter, names = letters(), list(profiles)
     known = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.uint64)])) if names else np.zeros(0, np.uint64)
-    rank = np.full((len(known), len(names)), -1, np.int64)
+    rank = np.full((len(known), len(names)), -1, np.int16)
     for k, p in enumerate(profiles.values()):
         rank[np.searchsorted(known, p), k] = np.arange(len(p))
 
@@ -110,7 +121,9 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score.
 
     Texts that are null or have no letter are ``und`` with score 0, and so are
-    all where nothing could be learned.  Repeated rows are judged alike.
+    all where nothing could be learned.  Of equally near languages the first
+    name wins.  Very long texts are judged whole, repeated rows alike; columns
+    other than doc_id and text aren't read.  An empty table gives no rows.
     """
 
     def make():
@@ -122,7 +135,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
 
         return run
 
-    judged = map_column(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", "lang_pred string, score double", make)
+    judged = map_column(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", "lang_pred string, score double", make, drop=True)
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

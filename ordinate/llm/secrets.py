@@ -162,7 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return run
 
     out = "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return map_column(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", out, make).drop("text")
+    return map_column(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", out, make, drop=True)
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
