@@ -9,5 +9,5 @@ import importlib
 
 from pyspark import cloudpickle
 
-for _name in ("common", "hashing", "ann", "secrets", "quality", "langid", "mixing", "urls", "decontam", "html", "simhash", "toxicity"):
+for _name in ("common", "hashing", "ann", "secrets", "quality", "langid", "mixing", "urls", "urlwords", "decontam", "html", "simhash", "toxicity"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

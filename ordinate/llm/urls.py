@@ -2,70 +2,68 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import ChainMap
+from collections.abc import Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinate.llm.common import ASCII_LOWER, ASCII_UPPER, checkpoint, table
+from ordinate.llm.urlwords import ALLOWED, BLOCKED, PARTNERS, RANKED
 
 #: (rule, verdict); a rule is a host with a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Words of everyday sites and of sites that a crawl leaves out, with rough frequencies; the segmenter's own lexicon.
-COMMON = (
-    "the 900 of 500 and 500 to 400 in 400 for 300 on 200 with 150 by 150 at 120 from 110 my 100 your 90 best 80 new 120 all 100 free 90 news 120 blog 140 shop 90 store 70 "
-    "online 90 home 120 page 80 index 60 article 60 post 60 wiki 60 docs 50 help 60 support 50 forum 50 book 60 books 50 music 50 video 50 photo 50 image 40 travel 50 food 50 recipe 30 "
-    "recipes 30 health 50 science 40 school 50 university 40 research 40 library 40 museum 20 history 40 art 40 game 40 games 40 sport 40 sports 40 football 20 weather 30 map 40 "
-    "city 40 country 30 world 60 today 40 daily 40 times 50 post 40 journal 30 magazine 30 review 40 guide 40 garden 30 house 40 family 40 kids 40 car 40 cars 30 code 40 data 40 "
-    "tech 50 web 70 site 60 net 50 world 50 green 30 blue 30 red 40 big 40 open 50 source 40 learn 40 project 30 media 40 press 30 tv 30 radio 30 bank 30 money 30 job 30 jobs 30 "
-    "work 50 team 30 club 40 group 40 company 40 service 40 services 40 water 30 sun 30 sea 30 north 20 south 20 east 20 west 20 street 20 english 20 french 20 german 20 spanish 20 "
-    "adult 40 porn 30 xxx 30 sex 40 nude 20 escort 15 escorts 12 cam 20 cams 15 casino 30 poker 20 bet 25 bets 12 betting 15 slot 12 slots 15 jackpot 10 lottery 10 gamble 8 gambling 10 "
-    "viagra 15 cialis 12 pills 15 pharma 12 pharmacy 15 loan 15 loans 15 payday 8 crack 12 warez 8 torrent 12 torrents 8 keygen 6 hack 12 hacks 8 cheat 10 cheats 8 spam 10 malware 6 "
-    "click 20 clicks 8 win 20 winner 8 prize 8 cheap 15 replica 8 replicas 5 dating 12 hot 20 girls 15 live 30 download 30 tracker 8 ads 15 popup 5 phish 5 scam 8"
-)
-#: Labelled examples that the naive Bayes model is trained on.
-EXAMPLES = (
-    *((u, "block") for u in (
-        "http://adultvideos.example.com/xxx/free", "http://freeporn.example.com/cams/live", "http://hotgirls-xxx.example.com/nude", "http://bestcasino.example.com/slots/jackpot",
-        "http://onlinepoker.example.com/bet/win", "http://sportsbetting.example.com/bets", "http://cheap-viagra.example.com/pills", "http://cialis-pharmacy.example.com/cheap/pills",
-        "http://paydayloans.example.com/loan/free", "http://warez-crack.example.com/keygen/download", "http://torrents.example.com/crack/games", "http://malware.example.com/click/win/prize",
-        "http://adult-dating.example.com/sex/live", "http://sexcams.example.com/adult/xxx", "http://escorts.example.com/city/nude", "http://casino-slots.example.com/lottery",
-        "http://replicas.example.com/cheap/replica", "http://gamehacks.example.com/cheats/hack", "http://phishbank.example.com/scam", "http://popupads.example.com/ads/spam/click",
-    )),
-    *((u, "allow") for u in (
-        "http://worldnews.example.com/article/today", "http://blog.travelguide.example.com/post/city", "http://docs.opensource.example.com/project/help", "http://wiki.sciencedata.example.com/page/history",
-        "http://university.example.com/research/library", "http://www.foodrecipes.example.com/recipe/home", "http://citymuseum.example.com/art/history", "http://forum.codehelp.example.com/support/post",
-        "http://dailyjournal.example.com/news/weather", "http://kidsbooks.example.com/book/review", "http://familygarden.example.com/garden/guide", "http://healthmagazine.example.com/article/health",
-        "http://techreview.example.com/review/data", "http://schoolmusic.example.com/music/learn", "http://www.thetimes.example.com/world/news", "http://photoblog.example.com/image/photo",
-        "http://m.footballclub.example.com/team/sport", "http://bookstore.example.com/books/new", "http://radio.example.com/music/today", "http://webservices.example.com/company/jobs",
-        "http://the.example.com/en/1234", "http://blog.for.example.com/fr/99", "http://m.with.example.org/es/5", "http://www.in.example.org/de/8", "http://example.com/index", "http://home.example.com/page/2",
-    )),
-)
 PIECE = re.compile(r"[a-z]+")
 #: What is no evidence about a site: technical labels and public suffixes.
-PLAIN = frozenset("www m com net org co uk edu gov info html htm php asp aspx example http https".split())
-LONGEST_WORD = 24
+PLAIN = frozenset("www m com net org co uk edu gov info html htm php asp aspx example http https en de fr es it pt nl pl ru ja zh".split())
+#: The most frequent built-in word counts so often; the r-th counts an r-th of it.  A listed word of a kind of site counts as often as the word in the middle.
+TOP_COUNT = 2_000_000
+#: Log probability by which an unknown stretch begins, and what each of its letters costs.
+UNKNOWN, LETTER = -12.0, -2.3
 #: A corpus word of the segmenter is one seen in so many distinct hosts and paths (a name seen less is no word, else no name would be segmented).
 LEAST_SEEN = 50
 #: Up to so many corpus words go to all tasks; more are joined to the names that hold them.
 LEXICON = 200_000
 
 
-def counted(corpus: dict[str, int] | None = None) -> dict[str, float]:
-    """Word -> count, of the built-in list and what the corpus adds."""
-    pairs = COMMON.split()
+@functools.cache
+def built_in() -> dict[str, float]:
+    """Word -> count, of the built-in lists."""
     count: dict[str, float] = {}
-    for word, n in zip(pairs[::2], pairs[1::2]):
-        count[word] = count.get(word, 0) + int(n) * 1000
+    for rank, word in enumerate(dict.fromkeys(RANKED), 1):
+        count[word] = TOP_COUNT / (rank + 10)
+    middle = TOP_COUNT / (len(count) / 2)
+    for words in (*BLOCKED.values(), *ALLOWED.values(), " ".join(PARTNERS)):
+        for word in words.split():
+            count.setdefault(word, middle)
+    return count
+
+
+def counted(corpus: dict[str, int] | None = None) -> dict[str, float]:
+    """Word -> count, of the built-in lists and what the corpus adds."""
+    count = dict(built_in())
     for word, n in (corpus or {}).items():
         count[word] = count.get(word, 0) + n
     return count
 
 
+def examples() -> list[tuple[str, str]]:
+    """Labelled training URLs: each listed word alone and with partners before and after it, and in the path with words of its kind."""
+    out = []
+    for label, kinds in (("block", BLOCKED), ("allow", ALLOWED)):
+        for kind, words in kinds.items():
+            listed = words.split()
+            for k, word in enumerate(listed):
+                mate, partner, other = listed[(k + 1) % len(listed)], PARTNERS[k % len(PARTNERS)], PARTNERS[(7 * k + 3) % len(PARTNERS)]
+                out += [(f"http://{host}/{path}", label) for host, path in ((f"{word}-{partner}.com", ""), (f"{other}-{word}.net", partner), (f"{word}-{mate}.org", f"{mate}/{word}"), (f"{kind}-{word}.com" if label == "allow" else f"{word}.com", word))]
+    return out
+
+
 def lexicon_total(corpus: dict[str, int] | None = None, extra: int = 0) -> float:
     return sum(counted(corpus).values()) + extra
 
@@ -76,17 +74,24 @@ def lexicon(corpus: dict[str, int] | None = None, extra: int = 0) -> dict[str, f
     return {w: math.log(n / total) for w, n in counted(corpus).items()}
 
 
-def segment(name: str, logp: dict[str, float], floor: float | None = None) -> list[str]:
-    """The most probable words of a concatenated name; unknown stretches cost more with each letter."""
-    unknown = -12.0 if floor is None else floor
+def segment(name: str, logp: Mapping[str, float], longest: int) -> list[str]:
+    """The most probable words of a concatenated name; ``longest``: letters of the longest known word.
+
+    An unknown stretch may have any length: it costs UNKNOWN and LETTER a letter.
+    """
     n = len(name)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    strange, since = -math.inf, 0  # the best way whose last word is unknown so far, and where that begins
     for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST_WORD), j):
+        if best[j - 1] + UNKNOWN > strange:
+            strange, since = best[j - 1] + UNKNOWN, j - 1
+        strange += LETTER
+        score, start = strange, since
+        for i in range(max(0, j - longest), j):
             p = logp.get(name[i:j])
-            p = best[i] + (unknown - 2.3 * (j - i) if p is None else p)
-            if p > best[j]:
-                best[j], back[j] = p, i
+            if p is not None and best[i] + p > score:
+                score, start = best[i] + p, i
+        best[j], back[j] = score, start
     words, j = [], n
     while j:
         words.append(name[back[j] : j])
@@ -94,13 +99,13 @@ def segment(name: str, logp: dict[str, float], floor: float | None = None) -> li
     return words[::-1]
 
 
-def tokens(host: str, path: str, logp: dict[str, float]) -> list[str]:
+def tokens(host: str, path: str, logp: Mapping[str, float], longest: int) -> list[str]:
     """Segmented words of host and path; host words are marked."""
     out = []
     for mark, text in (("h:", host), ("p:", path)):
         for piece in PIECE.findall(text.lower()):
-            if piece not in PLAIN and len(piece) > 1:
-                out += [mark + w for w in segment(piece, logp)]
+            if piece not in PLAIN:
+                out += [mark + w for w in segment(piece, logp, longest) if w not in PLAIN]
     return out
 
 
@@ -113,28 +118,29 @@ def split(url: str) -> tuple[str, str]:
     return host, re.split(r"[?#]", rest)[0]
 
 
-def train(logp: dict[str, float], examples=EXAMPLES) -> dict:
-    """Multinomial naive Bayes with add-one smoothing; host and path words also count without their mark."""
+def train(labelled: list[tuple[str, str]] | None = None) -> dict:
+    """Multinomial naive Bayes with add-one smoothing; host and path words also count without their mark.
+
+    The words of the training names are apart already, so no lexicon has a part in it.
+    """
+    apart = lexicon()
+    longest = max(map(len, apart))
     counts: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
     n = {"allow": 0, "block": 0}
-    for url, label in examples:
+    for url, label in examples() if labelled is None else labelled:
         n[label] += 1
-        for t in tokens(*split(url), logp):
+        for t in tokens(*split(url), apart, longest):
             for x in (t, t[2:]):
                 counts[label][x] = counts[label].get(x, 0) + 1
     words = {*counts["allow"], *counts["block"]}
     size = {c: sum(v.values()) + len(words) for c, v in counts.items()}
     ratio = {w: math.log((counts["block"].get(w, 0) + 1) / size["block"]) - math.log((counts["allow"].get(w, 0) + 1) / size["allow"]) for w in words}
-    # names that the training didn't see say nothing, and most sites are harmless
-    return {"prior": math.log(n["block"] / sum(n.values())) - math.log(n["allow"] / sum(n.values())) - 1.0, "ratio": ratio}
+    return {"prior": math.log(n["block"]) - math.log(n["allow"]), "ratio": ratio}
 
 
-def score(host: str, path: str, logp: dict[str, float], model: dict) -> float:
-    """Log odds that the site is to be blocked."""
-    total = model["prior"]
-    for t in tokens(host, path, logp):
-        total += model["ratio"].get(t, model["ratio"].get(t[2:], 0.0))
-    return total
+def score(words: list[str], model: dict) -> float:
+    """Log odds that a site with these words is to be blocked; words that the training didn't see say nothing."""
+    return model["prior"] + sum(model["ratio"].get(t, model["ratio"].get(t[2:], 0.0)) for t in words)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -161,35 +167,36 @@ def corpus_words(split_urls: DataFrame) -> DataFrame:
     Hosts and paths are made distinct first, and counts are added up before they move.
     """
     names = split_urls.select(F.explode(F.array("host", "path")).alias("name")).distinct()
-    pieces = names.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{2,24})"), 1))).alias("word"))
+    pieces = names.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{2,})"), 1))).alias("word"))
     return pieces.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_SEEN) & ~F.col("word").isin(*sorted(PLAIN)))
 
 
 def new_words(seen: DataFrame) -> DataFrame:
     """Without the words that are made up of built-in ones; those stay concatenated, to be segmented."""
-    built_in = lexicon()
+    known = lexicon()
+    longest = max(map(len, known))
 
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array([any(x not in built_in for x in segment(w, built_in)) for w in batch.column(0).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([any(x not in known for x in segment(w, known, longest)) for w in batch.column(0).to_pylist()], pa.bool_()))
 
     return seen.mapInArrow(keep, "word string, n long")
 
 
-def substrings(pieces: Column) -> Column:
-    """Distinct parts of 2 to LONGEST_WORD letters of an array of pieces."""
+def substrings(pieces: Column, longest: int) -> Column:
+    """Distinct parts of 2 to ``longest`` letters of an array of pieces."""
 
     def parts_of(piece):
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), F.length(piece) - i + 1)), lambda k: F.substring(piece, i, k))))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.length(piece) - i + 1)), lambda k: F.substring(piece, i, k))))
 
     return F.array_distinct(F.flatten(F.transform(pieces, parts_of)))
 
 
-def with_words(ruled: DataFrame, words: DataFrame) -> DataFrame:
+def with_words(ruled: DataFrame, words: DataFrame, longest: int) -> DataFrame:
     """Add ``found``: the corpus words, with counts, that a row's host and path hold anywhere."""
     names = ruled.select("host", "path").distinct()
     pieces = F.concat(*[F.regexp_extract_all(F.lower(c), F.lit("([a-z]{2,})"), 1) for c in ("host", "path")])
-    held = names.select("host", "path", F.explode(substrings(pieces)).alias("word")).join(words, "word")
+    held = names.select("host", "path", F.explode(substrings(pieces, longest)).alias("word")).join(words, "word")
     found = held.groupBy("host", "path").agg(F.collect_list(F.struct("word", "n")).alias("found"))
     return ruled.join(found, ["host", "path"], "left").select(*ruled.columns, "found")
 
@@ -199,34 +206,37 @@ def judge(pages: DataFrame, rules=RULES, corpus: dict[str, int] | None = None, m
 
     A rule's verdict stands; otherwise a score above zero blocks.  Null urls
     and those without ``://`` have an empty host and path and are allowed unless
-    a rule says otherwise.  Repeated rows are judged alike; other columns aren't read.
-    The segmenter knows the built-in words and all corpus words; beyond ``most`` of
-    these they are joined to the names instead of sent to all tasks.
+    a rule says otherwise.  Repeated rows are judged alike, names of any length
+    whole; ties between ways to cut a name go to the longer last word.  Other
+    columns aren't read, whatever their names.  An empty table gives no rows.
+    The segmenter knows the built-in words and all corpus words (LEAST_SEEN);
+    beyond ``most`` of these they are joined to the names instead of sent to all tasks.
     """
     urls = pages.select("page_id", F.col("url").cast("string").alias("__url"))
     host, path = parts(F.col("__url"))
     split_urls = urls.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     ruled = split_urls.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"))
-    built_in, joined = lexicon(), False
+    known, joined = lexicon(), False
+    longest = max(map(len, known))
     if corpus is None:
         seen = corpus_words(split_urls)
         rows = seen.limit(most + 1).collect()
         joined = len(rows) > most
         corpus = {} if joined else {r["word"]: r["n"] for r in rows}
-    known_words = {w: n for w, n in corpus.items() if any(x not in built_in for x in segment(w, built_in))}
+    known_words = {w: n for w, n in corpus.items() if any(x not in known for x in segment(w, known, longest))}
+    longest = max([longest, *map(len, known_words)])
     extra = 0
     if joined:
         words = checkpoint(new_words(seen))
-        in_examples = {p[i:j] for url, _ in EXAMPLES for p in PIECE.findall(url.lower()) for i in range(len(p)) for j in range(i + 2, min(len(p), i + LONGEST_WORD) + 1)}
-        known_words = {r["word"]: r["n"] for r in words.where(F.col("word").isin(*sorted(in_examples))).collect()}
-        extra = (words.agg(F.sum("n")).first()[0] or 0) - sum(known_words.values())
-        ruled = with_words(ruled, words)
+        extra, far = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.length("word")), F.lit(0))).first()
+        longest = max(longest, far)
+        ruled = with_words(ruled, words, longest)
     else:
         ruled = ruled.withColumn("found", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
     logp = lexicon(known_words, extra)
     total = lexicon_total(known_words, extra)
-    model = train(logp)
+    model = train()
 
     def run(batches):
         known: dict[tuple[str, str], tuple[float, str]] = {}
@@ -238,7 +248,8 @@ def judge(pages: DataFrame, rules=RULES, corpus: dict[str, int] | None = None, m
                     if len(known) > 50_000:
                         known.clear()
                     own = ChainMap({x["word"]: math.log(x["n"] / total) for x in found}, logp) if found else logp
-                    known[h, pieces] = score(h, p, own, model), " ".join(t[2:] for t in tokens(h, p, own))
+                    cut = tokens(h, p, own, longest)
+                    known[h, pieces] = score(cut, model), " ".join(t[2:] for t in cut)
                 s, w = known[h, pieces]
                 scores.append(s)
                 words.append(w)
