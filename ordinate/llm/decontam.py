@@ -1,13 +1,16 @@
 """Benchmark decontamination: a hash set of normalised test n-grams against the windows of training texts.
 
-A benchmark up to BROADCAST_BYTES goes to every task as a hash set.  A larger
-one stays distributed: a Bloom filter of fixed size picks a document's possible
-windows, and only these are shuffled to the benchmark's windows and verified.
+The benchmark's windows go to every task as one structure: sorted hashes with
+their places in the benchmark's text, behind a bit filter, so that a hit is
+verified word by word.  Where it would exceed BROADCAST_BYTES, a Bloom filter
+of fixed size and a join of distinct windows first find the benchmark's windows
+that occur in the texts at all; these then go out in as many portions as they need.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -15,230 +18,363 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.llm.common import map_column, rewrite_texts, table
+from ordinate.llm.common import bound_batches, checkpoint, fresh, map_column, rewrite_texts, slices, table
 
 WINDOW = 13
-BROADCAST_BYTES = 16_000_000
+#: Most bytes of one structure that is sent to all tasks; a window takes ROW_BYTES beside its text.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 24
 BLOOM_BITS = 27
+#: A text is hashed so many bytes at a time.
+SEGMENT = 1 << 20
 #: Every byte that is no word character becomes a space; A-Z become a-z.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: A byte string's hash is a polynomial modulo 2^64; powers of the base and of its inverse make every substring's hash one subtraction.
+BASE = 0xD6E8FEB86659FD93
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(CLEAN).split()
+class Kept(list):
+    """A list of its process; functions that use it are sent without its content."""
 
+    def __reduce__(self):
+        return Kept, ()
 
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each window of ``size`` word hashes."""
-    n = len(h) - size + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out *= FACTOR
-        out += h[k : k + n]
-    return out ^ (out >> np.uint64(29))
+
+_powers = Kept()
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE and of its inverse; kept in the process."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        made = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            a = np.full(size, base, np.uint64)
+            a[0] = 1
+            made.append(np.cumprod(a, dtype=np.uint64))
+        _powers[:] = made
+    return _powers
+
+
+def normal(text: bytes | None) -> bytes:
+    """The words, one space apart."""
+    return b" ".join((text or b"").translate(CLEAN).split())
+
+
+def word_edges(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends in a normal text."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+    return np.concatenate([[0], at + 1]), np.concatenate([at, [len(words)]])
+
+
+def substring_hashes(words: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of substrings, whose starts ascend."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + SEGMENT)))
+        a, b = int(starts[lo]), int(ends[lo:hi].max())
+        up, down = powers(b - a + 1)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(np.frombuffer(words, np.uint8, b - a, a) * up[: b - a], out=sums[1:])
+        h = (sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * down[starts[lo:hi] - a]
+        h ^= h >> np.uint64(32)
+        h *= FACTOR
+        out[lo:hi] = h ^ (h >> np.uint64(29))
+        lo = hi
+    return out
+
+
+class Known:
+    """The benchmark's windows of one size: sorted hashes, where each lies in the text, its item, and a bit filter."""
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, hashes))
+        self.hashes, self.items = hashes[order], items[order].astype(np.int32)
+        self.starts, self.sizes = starts[order], (ends - starts)[order].astype(np.int32)
+        self.shift = np.uint64(64 - max(10, (16 * len(hashes) - 1).bit_length()))
+        at = self.hashes >> self.shift
+        self.bits = np.zeros(1 << (64 - int(self.shift) - 3), np.uint8)
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+
+    def possible(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are among the known ones."""
+        at = h >> self.shift
+        some = np.flatnonzero(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        place = np.searchsorted(self.hashes, h[some])
+        place[place == len(self.hashes)] = 0
+        return some[self.hashes[place] == h[some]]
 
 
 class Matcher:
-    """Finds the benchmark's windows in texts; items are (item_id as text, words)."""
+    """Finds the benchmark's windows in texts; items are (item_id as text, text as bytes).  Made once, on the driver."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
-        self.windows: dict[int, dict[tuple, set[str]]] = {}
-        for item, words in items:
-            size = min(WINDOW, len(words))
+    def __init__(self, items: list[tuple[str, bytes]]):
+        self.names: list[str] = []
+        parts, at = [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for name, text in items:
+            words = normal(text)
+            starts, ends = word_edges(words)
+            size = min(WINDOW, len(starts))
             if size:
-                at = self.windows.setdefault(size, {})
-                for i in range(len(words) - size + 1):
-                    at.setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.known: dict[int, np.ndarray] = {}
-        for size, at in self.windows.items():
-            mark = np.zeros(1 << 20, bool)
-            flat = self.hashes([w for window in at for w in window]).reshape(-1, size)
-            whole = np.array([window_hashes(row, size)[0] for row in flat], np.uint64)
-            mark[whole & np.uint64((1 << 20) - 1)] = True
-            self.known[size] = mark
-
-    @staticmethod
-    def hashes(words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-        """Which words are hit (None: none) and the ids of the items with occurring windows."""
-        hit, items, h = None, set(), None
-        for size, mark in self.known.items():
-            if len(words) < size:
+                n = len(starts) - size + 1
+                a, b = starts[:n], ends[size - 1 :]
+                found.setdefault(size, []).append((substring_hashes(words, a, b), a + at, b + at, np.full(n, len(self.names))))
+                self.names.append(name)
+                parts.append(words)
+                at += len(words)
+        self.text = b"".join(parts)
+        self.known = {size: Known(*(np.concatenate(c) for c in zip(*rows))) for size, rows in sorted(found.items())}
+        self.seen: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def holders(self, size: int, h: int) -> dict[bytes, set[str]]:
+        """Windows with a hash, and the items that hold each."""
+        if (size, h) not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            k, made = self.known[size], {}
+            for i in range(int(np.searchsorted(k.hashes, np.uint64(h))), int(np.searchsorted(k.hashes, np.uint64(h), "right"))):
+                made.setdefault(self.text[k.starts[i] : k.starts[i] + k.sizes[i]], set()).add(self.names[k.items[i]])
+            self.seen[size, h] = made
+        return self.seen[size, h]
+
+    def find(self, text: bytes | None) -> tuple[int, np.ndarray | None, set[str]]:
+        """The number of words, which are hit (None: none), and the ids of the items with occurring windows."""
+        words = normal(text)
+        starts, ends = word_edges(words)
+        hit, items = None, set()
+        for size, known in self.known.items():
+            n = len(starts) - size + 1
+            if n <= 0:
                 continue
-            h = self.hashes(words) if h is None else h
-            for i in np.flatnonzero(mark[window_hashes(h, size) & np.uint64((1 << 20) - 1)]).tolist():
-                if found := self.windows[size].get(tuple(words[i : i + size])):
-                    hit = np.zeros(len(words), bool) if hit is None else hit
-                    hit[i : i + size] = True
-                    items |= found
-        return hit, items
+            h = substring_hashes(words, starts[:n], ends[size - 1 :])
+            told: set[bytes] = set()
+            for i in known.possible(h).tolist():
+                window = words[starts[i] : ends[i + size - 1]]
+                if window not in told:
+                    holders = self.holders(size, int(h[i])).get(window)
+                    if not holders:
+                        continue
+                    told.add(window)
+                    items |= holders
+                hit = np.zeros(len(starts), bool) if hit is None else hit
+                hit[i : i + size] = True
+        return len(starts), hit, items
 
 
 def contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
+def intervals(hit: np.ndarray) -> list[list[int]]:
+    """[start, end) of the runs of hit words."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+
+
+def without(raw: bytes, runs: list[list[int]]) -> str:
+    """The text without these runs of words; a run goes with what is between its words and leaves a space."""
+    spans = [m.span() for m in WORD.finditer(raw)]
+    parts, at = [], 0
+    for i, j in runs:
+        parts.append(raw[at : spans[i][0]])
+        at = spans[j - 1][1]
+    return b" ".join([*parts, raw[at:]]).decode()
+
+
 def strip(text: str, matcher: Matcher) -> tuple[str, bool]:
     """The text without its hit words, and whether it was contaminated as it came.
 
-    A run of hit words goes with what is between them and leaves a space.
     Words that come together by that are looked at again, until none is hit.
     """
     bad, first = False, True
     while True:
         raw = text.encode()
-        words = words_of(raw)
-        hit, _ = matcher.find(words)
+        n, hit, _ = matcher.find(raw)
         if hit is None:
             return text, bad
         if first:
-            bad, first = contaminated(int(hit.sum()), len(words)), False
-        spans = [m.span() for m in WORD.finditer(raw)]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        parts, at = [], 0
-        for i, j in edges.reshape(-1, 2).tolist():
-            parts.append(raw[at : spans[i][0]])
-            at = spans[j - 1][1]
-        text = b" ".join([*parts, raw[at:]]).decode()
+            bad, first = contaminated(int(hit.sum()), n), False
+        text = without(raw, intervals(hit))
+
 
+def _usable(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
-def _items(benchmark: DataFrame) -> list[tuple[str, list[bytes]]]:
-    return [(str(r["item_id"]), words_of(r["text"].encode())) for r in benchmark.where("text is not null and item_id is not null").select("item_id", F.col("text").cast("string").alias("text")).collect()]
 
+def _items(benchmark: DataFrame) -> list[tuple[str, bytes]]:
+    rows = _usable(benchmark).select("item_id", F.col("text").cast("binary").alias("text")).toArrow()
+    return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
 
-def fits_broadcast(benchmark: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    return (benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 16)).first()[0] or 0) <= most
+
+def structure_bytes(benchmark: DataFrame) -> int:
+    """What the structure of a benchmark takes: its text, and ROW_BYTES a word."""
+    words = F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    return int(_usable(benchmark).agg(F.sum(F.octet_length("text") + ROW_BYTES * words)).first()[0] or 0)
 
 
 def _digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _contaminated():
+    return ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words.  Null item texts and ids take no part;
-    repeated items count once for each id.  Repeated documents are judged alike.
+    repeated items count once for each id.  Repeated documents are judged alike,
+    very long texts whole.  Other columns aren't read, whatever their names.  An
+    empty table gives no rows, an empty benchmark no hits.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    if not fits_broadcast(benchmark, most):
-        return _scan_by_shuffle(docs, benchmark)
-    items = _items(benchmark)
+    if structure_bytes(benchmark) > most:
+        return _scan_in_portions(docs, benchmark, most)
+    matcher = Matcher(_items(benchmark))
 
     def make():
-        matcher = Matcher(items)
-
         def run(texts):
             rows = []
             for t in texts:
-                words = words_of(t)
-                hit, found = matcher.find(words)
-                rows.append((len(words), 0 if hit is None else int(hit.sum()), len(found), _digest(found)))
+                n, hit, found = matcher.find(t)
+                rows.append((n, 0 if hit is None else int(hit.sum()), len(found), _digest(found)))
             a, b, c, d = zip(*rows) if rows else ((), (), (), ())
             return [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())]
 
         return run
 
-    found = map_column(docs, "text", "n_words long, n_hit long, n_items long, items_sha256 string", make, binary=True)
+    found = map_column(docs, "text", "n_words long, n_hit long, n_items long, items_sha256 string", make, binary=True, drop=True)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", _contaminated())
 
 
-def _contaminated():
-    return ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+def _windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text): each window of each item, one row each; an item of at most WINDOW words is its own window."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                words = normal(text).split()
+                size = min(WINDOW, len(words))
+                out += [(item, b" ".join(words[i : i + size]).decode()) for i in range(len(words) - size + 1 if size else 0)]
+            items, texts = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], names=["item_id", "text"])
 
+    return _usable(benchmark).mapInArrow(run, "item_id string, text string")
 
-def _stable(words: list[bytes]) -> np.ndarray:
-    """Word hashes that are the same in every process."""
-    import xxhash
 
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+def _hash_of(words: bytes) -> int:
+    return int(substring_hashes(words, np.array([0]), np.array([len(words)]))[0])
 
 
-def _window_rows(batches, with_items: bool, sizes=(), bloom=None):
-    """(key.., size, start, window) for an item's windows, or for a document's that the filter lets pass."""
-    for batch in batches:
-        out = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            words = words_of(text)
-            if with_items:
-                size = min(WINDOW, len(words))
-                out += [(key, size, i, b" ".join(words[i : i + size]).decode()) for i in range(len(words) - size + 1 if size else 0)]
-                continue
-            h = _stable(words)
-            for size in sizes:
-                if len(words) >= size:
-                    w = window_hashes(h, size)
-                    for i in np.flatnonzero(bloom[(w >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)]).tolist():
-                        out.append((key, size, i, b" ".join(words[i : i + size]).decode()))
-        keys, sizes_, starts, windows = zip(*out) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(sizes_, pa.int32()), pa.array(starts, pa.int64()), pa.array(windows, pa.string())], names=["key", "size", "start", "window"])
-
-
-def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same result without a broadcast of the benchmark; the filter has 2^BLOOM_BITS bits however large it is."""
-    shape = "key {}, size int, start long, window string"
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    windows = items.mapInArrow(lambda b: _window_rows(b, True), shape.format("string"))
+def occurring(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(item_id, text): the benchmark's windows that occur in the documents, as items of their own."""
+    windows = checkpoint(_windows(benchmark))
 
     def bits(batches):
         mark = np.zeros(1 << BLOOM_BITS, bool)
         for batch in batches:
             for window in batch.column(0).to_pylist():
-                words = window.encode().split()
-                mark[int(window_hashes(_stable(words), len(words))[0] >> np.uint64(64 - BLOOM_BITS))] = True
-        at = np.flatnonzero(np.packbits(mark).view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.packbits(mark).view(np.uint64)[at].view(np.int64), pa.int64())], names=["word", "bits"])
-
-    words = windows.select("window").distinct().mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    packed = np.zeros(1 << (BLOOM_BITS - 6), np.int64)  # at most 2^(BLOOM_BITS - 6) rows come to the driver
-    for r in words.toLocalIterator():
-        packed[r["word"]] = r["bits"]
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
-
-    # rows with the same id and text are judged alike, so their hash pair may stand for them
-    keyed = docs.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"), F.coalesce(F.length("text"), F.lit(-1)).cast("string")))
-
-    def scan_docs(batches):
-        yield from _window_rows(batches, False, sizes, np.unpackbits(packed.view(np.uint8)).view(bool))
-
-    candidate = keyed.select("key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan_docs, shape.format("string")).distinct()
-    matched = candidate.join(windows.select("size", "window", F.col("key").alias("item")).distinct(), ["size", "window"])
-    hits = matched.groupBy("key").agg(
-        F.collect_set("item").alias("items"), F.collect_set(F.struct("start", "size")).alias("spans")
+                mark[_hash_of(window.encode()) >> (64 - BLOOM_BITS)] = True
+        packed = np.packbits(mark).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at], pa.int64())], names=["word", "bits"])
+
+    words = windows.select("text").distinct().mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = words.toArrow()  # 2^(BLOOM_BITS - 6) rows at most
+    packed = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    packed[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    sizes = sorted(r["n"] for r in windows.select((F.length(F.regexp_replace("text", "[^ ]", "")) + 1).alias("n")).distinct().collect())  # WINDOW rows at most
+
+    def look(batches):
+        flat = packed.view(np.uint8)
+        for batch in slices(batches, 0):
+            out: set[bytes] = set()  # each once in a slice
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words_ = normal(text)
+                starts, ends = word_edges(words_)
+                for size in sizes:
+                    n = len(starts) - size + 1
+                    if n > 0:
+                        at = substring_hashes(words_, starts[:n], ends[size - 1 :]) >> np.uint64(64 - BLOOM_BITS)
+                        some = np.flatnonzero(flat[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                        out.update(words_[s:e] for s, e in zip(starts[some].tolist(), ends[some + size - 1].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()).cast(pa.string())], names=["text"])
+
+    bound_batches(docs)
+    present = docs.where("text is not null").select("text").mapInArrow(look, "text string").distinct()
+    return windows.join(present, "text", "left_semi").select("item_id", "text").distinct()
+
+
+def _hits(keyed: DataFrame, benchmark: DataFrame, most: int) -> DataFrame:
+    """(key, runs, items) of the documents with hits: runs of hit words from all portions of the benchmark, perhaps overlapping."""
+    found = checkpoint(occurring(keyed, benchmark))
+    portions = max(1, math.ceil(structure_bytes(found) * 1.5 / most))
+    rows = None
+    for k in range(portions):
+        matcher = Matcher(_items(found.where(F.pmod(F.xxhash64("text"), F.lit(portions)) == k)))
+
+        def make(matcher=matcher):
+            def run(texts):
+                runs, items = [], []
+                for t in texts:
+                    _, hit, held = matcher.find(t)
+                    runs.append(None if hit is None else intervals(hit))
+                    items.append(None if hit is None else sorted(held))
+                return [pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+
+            return run
+
+        made = map_column(keyed.select("key", "text"), "text", "runs array<array<bigint>>, items array<string>", make, binary=True, drop=True).where("runs is not null")
+        # rows with one key have one text; written at once, so that the driver holds one portion at a time
+        made = checkpoint(made.groupBy("key").agg(F.min("runs").alias("runs"), F.min("items").alias("items")))
+        rows = made if rows is None else rows.unionByName(made)
+    return rows.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def _merged(runs):
+    """Sorted runs without overlaps, as [start, end) pairs."""
+    start = F.array().cast("array<array<bigint>>")
+    return F.aggregate(
+        runs, start,
+        lambda a, r: F.when((F.size(a) > 0) & (F.element_at(F.element_at(a, -1), 2) >= r[0]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.array(F.element_at(F.element_at(a, -1), 1), F.greatest(F.element_at(F.element_at(a, -1), 2), r[1]))))).otherwise(F.concat(a, F.array(r))),
     )
 
-    def count(row):
-        covered = F.aggregate(
-            F.array_sort(row), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-            lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["start"] + s["size"] - F.greatest(s["start"], a["end"]))).alias("n"), F.greatest(a["end"], s["start"] + s["size"]).alias("end")),
-            lambda a: a["n"],
-        )
-        return covered
 
-    def lengths():
-        return lambda texts: [pa.array([len(words_of(t)) for t in texts], pa.int64())]
+def _with_key(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows with the same id and text are judged alike, so a hash pair may stand for them."""
+    t = F.col(text).cast("string")
+    return docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(t).cast("string"), F.hash(t).cast("string"), F.coalesce(F.length(t), F.lit(-1)).cast("string")))
 
-    told = hits.select("key", count(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"))
-    whole = map_column(keyed.select("doc_id", "key", "text"), "text", "n_words long", lengths, binary=True).drop("text").join(told, "key", "left")
+
+def _scan_in_portions(docs: DataFrame, benchmark: DataFrame, most: int) -> DataFrame:
+    keyed = _with_key(docs, "key")
+    hits = _hits(keyed, benchmark, most)
+    told = hits.select(
+        "key", F.aggregate(_merged("runs"), F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+    )
+    lengths = lambda: lambda texts: [pa.array([len(normal(t).split()) for t in texts], pa.int64())]
+    whole = map_column(keyed.select("doc_id", "key", "text"), "text", "n_words long", lengths, binary=True, drop=True).join(told, "key", "left")
     return whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256")).withColumn("contaminated", _contaminated())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Contaminated documents go; other documents lose the hit words, so that no window of the benchmark is left.
 
-    The benchmark must fit BROADCAST_BYTES here.  Documents without a hit stay as they are.
+    Documents without a hit, nulls and empty texts stay as they are, and so do
+    all other columns, but for an integer n_chars of a changed text.
     """
-    if not fits_broadcast(benchmark):
-        raise ValueError("the benchmark is too large to be broadcast; use scan() and drop what is contaminated")
-    items = _items(benchmark)
+    if structure_bytes(benchmark) > most:
+        return _decontaminate_in_portions(docs, benchmark, most)
+    matcher = Matcher(_items(benchmark))
 
     def make():
-        matcher = Matcher(items)
-
         def run(texts):
             done = [(t, False) if t is None else strip(t, matcher) for t in texts]
             return [t for t, _ in done], [not bad for _, bad in done]
@@ -248,5 +384,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rewrite_texts(docs, make)
 
 
+def _decontaminate_in_portions(docs: DataFrame, benchmark: DataFrame, most: int) -> DataFrame:
+    """The same result by rounds: all portions' hits of a round are cut at once, and what changed is looked at again."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key, runs, spoilt = fresh(docs, "hit_key", "hit_runs", "hit_spoilt")
+    todo, first = docs, True
+    done = None
+    while True:
+        keyed = _with_key(todo, key)
+        hits = _hits(keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), benchmark, most).select(F.col("key").alias(key), _merged("runs").alias(runs))
+        joined = checkpoint(keyed.join(hits, key, "left"))
+        clean = joined.where(F.col(runs).isNull()).select(*names)
+        done = clean if done is None else done.unionByName(clean)
+        hit = joined.where(F.col(runs).isNotNull())
+        if hit.isEmpty():
+            return done
+        if first:
+            words = map_column(hit, "text", f"`{spoilt}` long", lambda: lambda texts: [pa.array([len(normal(t).split()) for t in texts], pa.int64())], binary=True)
+            n_hit = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+            hit, first = words.where(20 * n_hit < F.col(spoilt)).drop(spoilt), False
+        at, at_text = hit.columns.index(runs), hit.columns.index("text")
+        size = hit.columns.index("n_chars") if "n_chars" in hit.columns and hit.schema["n_chars"].dataType.typeName() in ("long", "integer") else None
+
+        def cut(batches, at=at, at_text=at_text, size=size):
+            for batch in slices(batches, at_text):
+                new = [without(t.encode(), r) for t, r in zip(batch.column(at_text).to_pylist(), batch.column(at).to_pylist())]
+                columns = list(batch.columns)
+                columns[at_text] = pa.array(new, columns[at_text].type)
+                if size is not None:
+                    columns[size] = pa.array([len(t) for t in new], columns[size].type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        todo = checkpoint(hit.mapInArrow(cut, hit.schema).select(*names))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

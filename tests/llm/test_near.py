@@ -179,7 +179,7 @@ def test_pipeline(spark):
     order = sorted(range(len(rows)), key=lambda i: rows[i]["doc_id"])
     _, roots = plain_near([prints[i] for i in order])
     rows = [rows[order[k]] for k in sorted(set(roots))]
-    matcher = decontam.Matcher([(str(r["item_id"]), decontam.words_of(r["text"].encode())) for r in common.table(spark, str(SF), "benchmark").collect()])
+    matcher = decontam.Matcher([(str(r["item_id"]), r["text"].encode()) for r in common.table(spark, str(SF), "benchmark").collect()])
     done = [(r, *decontam.strip(r["text"], matcher)) for r in rows]
     kept = spark.createDataFrame([(r["doc_id"], t, r["lang"], r["source"], len(t) if t is not r["text"] else r["n_chars"]) for r, t, bad in done if not bad], SCHEMA)
     expected = mixing.mix(secrets.redact(kept)).collect()
