@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
 import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +24,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: What makes a context sensitive for the novelty test, besides WORDS.
 CONTEXT = (*WORDS, "credential", "bearer", "passphrase", "private_key", "private key", "privatekey", "access_key", "access key", "accesskey", "authorization", "signing", "pwd")
-SENSITIVE = re.compile("(?ai:" + "|".join(CONTEXT) + ")")
+SENSITIVE = re.compile("(?ai:(?:" + "|".join(CONTEXT) + ")+)")  # words that follow one another are one context
 LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 #: A candidate starts at most so many characters after a sensitive word; so much text around it primes the compressor.
 REACH, AROUND = 64, 512
-#: Marginal compressed bytes for each character from which a candidate is reported.
-NOVELTY = 0.7
+#: Marginal compressed bytes for each character from which a candidate is reported.  A letter that no match covers takes about 6 bits.
+NOVELTY = 0.65
+#: Before the surroundings in each frame, so that every frame codes its literals alike, however few they are: base64 of fixed hashes.
+PRIMER = base64.b64encode(b"".join(hashlib.sha256(bytes([k])).digest() for k in range(40)))
 IDENTIFIERS = (
     "abstract access account action active address admin algorithm allocate alpha append application argument array assert async attribute authentication authorization "
     "background backup base64 batch boolean bootstrap boundary branch buffer builder button bytes cache calculate callback cancel certificate channel character checkpoint checksum "
@@ -79,11 +84,13 @@ WORD_BITS = 5.0
 
 
 def of_words(piece: str) -> bool:
-    """Whether a run without digits is made of words, as identifiers, paths and prose are."""
-    if any(ch.isdigit() for ch in piece):
+    """Whether a run is made of words, as identifiers, paths and prose are; numbers may stand between them."""
+    if sum(a.isdigit() != b.isdigit() for a, b in zip(piece, piece[1:]) if a.isalnum() and b.isalnum()) > 2:
         return False
     bits = [PAIRS[part[k : k + 2]] for part in re.findall("[a-z]+", piece.lower()) for k in range(len(part) - 1)]
-    return not any(ch.isalpha() for ch in piece) or bool(bits) and sum(bits) / len(bits) < WORD_BITS
+    if not bits:
+        return not any(map(str.isalnum, piece))
+    return sum(bits) / len(bits) < WORD_BITS and 2 * sum(map(str.isdigit, piece)) <= len(piece)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,26 +115,33 @@ class Novelty:
         self.compress = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False).compress
 
     def per_character(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "replace")
+        around = PRIMER + (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "replace")
         piece = text[start:end].encode("utf-8", "replace")
         return (len(self.compress(around + piece)) - len(self.compress(around))) / len(piece)
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """All candidates after a sensitive word that overlap no base span, aren't made of words only and don't compress."""
+        """All candidates after a sensitive word that overlap no base span, aren't made of words only and don't compress.  ``known`` is sorted."""
         low = text.encode("utf-8", "replace").lower()
         if not any(w.encode() in low for w in CONTEXT):
             return []
-        found, tried = [], set()
+        starts, ends = [s for s, _, _ in known], list(accumulate((e for *_, e in known), max))
+        found, tried, run, reported = [], -1, (0, 0), 0
         for m in SENSITIVE.finditer(text):
             for c in CANDIDATE.finditer(text, m.end(), m.end() + REACH + LEAST):
                 start = c.start()
-                end = CANDIDATE.match(text, start).end()  # it may go on beyond what was searched
-                if start in tried or any(s < end and start < e for s, _, e in known):
+                if start <= tried or start < reported:
+                    continue
+                tried = start
+                if not run[0] <= start < run[1]:  # it may go on beyond what was searched
+                    run = (start, CANDIDATE.match(text, start).end())
+                end = run[1]
+                k = bisect_left(starts, end)
+                if k and ends[k - 1] > start:
                     continue
-                tried.add(start)
                 piece = text[start:end]
                 if not of_words(piece) and self.per_character(text, start, end) >= NOVELTY:
                     found.append((start, 3, end))
+                    reported = end
         return found
 
 
@@ -139,10 +153,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     Positions are code points, the end exclusive; a span is the whole match.
-    Novel spans are runs after a sensitive word, with or without digits, whose
-    compressed size is near their length; runs without digits whose letter pairs
-    are those of words aren't reported, nor are random ones that compress below NOVELTY.
-    Null and empty texts have none; repeated rows are judged alike.
+    Novel spans are runs of at least LEAST characters, with or without digits,
+    that start at most REACH characters after a sensitive word and, primed by
+    AROUND characters on either side and the dictionary, still take NOVELTY bytes
+    a character; after a reported one a run isn't looked at again.  Runs without
+    digits whose letter pairs are those of words aren't reported.
+    Null and empty texts have none; very long ones are scanned whole, repeated
+    rows alike.  Other columns aren't read, whatever their names.  An empty
+    table gives no rows.
     """
 
     def make():

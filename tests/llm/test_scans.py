@@ -136,6 +136,43 @@ def test_decontamination_of_long_texts_and_many_windows():
     assert matcher.find(f"{big} {planted} {big}".encode())[1].sum() == 25
 
 
+def test_secrets_in_reach_and_of_long_texts():
+    novelty = secrets.Novelty()
+    secret = "Zq8xK2mV7tLp4RwS8nYbQ1d"
+    found = lambda text: [text[s:e] for s, _, e in novelty.spans(text, secrets.base_spans(text))]
+    assert found(f"authorization: my_long_identifier_name, {secret}") == [secret]
+    assert all(found("pwd" + " " * k + secret) == [secret] for k in (1, 52, 56, 64)) and found("pwd" + " " * 65 + secret) == []
+    assert found(f"bearer {secret}, {secret[::-1]}") == [secret, secret[::-1]]
+    rng = random.Random(1)
+    lines = "\n".join(f'password = "{rng.getrandbits(60):x}" # token holder number {k}' for k in range(170_000))
+    began = time.process_time()
+    assert len(secrets.base_spans(lines)) == 170_000 and len(lines) > 8_000_000
+    novelty.spans(lines, secrets.base_spans(lines))
+    novelty.spans("token" * 200_000, [])
+    assert time.process_time() - began < 40  # about a second a MB at most; linear
+
+
+def test_novelty_recall_and_false_alarms():
+    """Random strings after sensitive words are found; identifiers, paths and prose there aren't reported."""
+    rng = random.Random(7)
+    novelty = secrets.Novelty()
+    prose = "The service reads its settings when it starts and writes them to the log. Users log in with an account of the company. "
+    contexts = ["Authorization: Bearer {}", "the private key is {} for now", "pwd {}", "signing with {}", "credential <{}>", "passphrase, {}"]
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    hit = 0
+    for k in range(300):
+        value = "".join(rng.choices(kinds[k % 3], k=rng.randint(20, 44)))
+        text = prose + contexts[k % 6].format(value) + ". " + prose
+        hit += any(text[s:e].strip(".=") == value.strip(".=") for s, _, e in novelty.spans(text, secrets.base_spans(text)))
+    words = secrets.IDENTIFIERS.split()
+    false = 0
+    for k in range(300):
+        value = ["_".join(rng.sample(words, 3)), "/".join(rng.sample(words, 4)), ".".join(rng.sample(words, 3)), f"{rng.choice(words)}-{rng.choice(words)}-{rng.randint(1, 99)}"][k % 4]
+        text = prose + contexts[k % 6].format(value) + ". " + prose
+        false += bool(novelty.spans(text, secrets.base_spans(text)))
+    assert hit >= 0.95 * 300 and false <= 0.05 * 300, (hit, false)
+
+
 @pytest.mark.parametrize("source, expected", [
     (None, None), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b<div>c</div>d", "a\n\nb\n\nc\nd"), ("<ul><li>a<li>b<ol><li>x<li>y</ol></ul>", "- a\n- b\n  1. x\n  2. y"),
     ("<table><tr><th>Name<th>N<tr><td>longer name<td>7</table>", "Name         N\nlonger name  7"), ("a<script>x</script><style>.h{display:none}</style><b class=h>no</b><i hidden>no</i><i style='visibility: hidden'>no</i>b", "ab"),
