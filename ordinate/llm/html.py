@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Generator
 from html import unescape
 
@@ -12,14 +13,21 @@ from pyspark.sql import functions as F
 
 from ordinate.llm.common import map_column, table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,200000}+"|'[^']{0,200000}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
+#: From a place between attributes to the tag's end or the next quoted value.
+GAP = re.compile(r"""(?:[^>=]++|=(?!\s*["']))*+(?:(>)|=\s*(["']))""")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RULE = re.compile(r"([^{}]+)\{[^{}]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))[^{}]*\}", re.I)
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Blocks of style sheets for paper.
+PRINT = re.compile(r"@media[^{]*\bprint\b[^{]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SIMPLE = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+NONE = re.compile(r"display\s*:\s*none", re.I)
+UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea title meta link".split())
+NEVER = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link annotation annotation-xml".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav option section summary tbody td tfoot th thead tr".split())
 CLOSES_P = BLOCK - frozenset("body html option td th tr tbody thead tfoot caption legend".split())
@@ -31,6 +39,10 @@ IMPLIED = {
 }
 #: Lists, quotes and table cells nested deeper keep their text and markers, without indentation and columns (the output would grow with the square of the depth).
 LEVELS = 512
+#: Most columns and rows that a cell spans, as in browsers.
+WIDEST, HIGHEST = 1000, 65_534
+#: Kinds of input whose value is shown.
+SHOWN = frozenset("text search email url tel number date time month week submit button reset".split())
 
 
 class Node:
@@ -46,6 +58,41 @@ class Node:
         return out
 
 
+def tags(html: str) -> Generator:
+    """(start, end, slash or "", name, attributes) of tags in order; name is None for comments and declarations.
+
+    A quoted value may hold ``>``.  A tag whose quotes never close ends at its first ``>``, and one without is text.
+    Linear: places from which no end was found aren't tried again.
+    """
+    at, last, hopeless = 0, html.rfind(">"), set()
+    while (m := START.search(html, at)) is not None:
+        if m[2] is None:
+            end = html.find("-->", m.end()) + 3 if m[0] == "<!--" else html.find(">", m.end()) + 1
+            at = end if end > 2 or end and m[0] != "<!--" else len(html)
+            yield m.start(), at, "", None, ""
+            continue
+        i, passed, end = m.end(), [], 0
+        while i <= last and i not in hopeless and (gap := GAP.match(html, i)) is not None:
+            passed.append(i)
+            if gap[1]:
+                end = gap.end()
+                break
+            i = html.find(gap[2], gap.end()) + 1
+            if not i:
+                break
+        if not end:
+            hopeless.update(passed)
+            end = html.find(">", m.end()) + 1 if m.end() <= last else 0
+        if not end:
+            at = m.end()
+            continue
+        at = end
+        close = yield m.start(), end, m[1], m[2].lower(), html[m.end() : end - 1]
+        if close is not None:
+            at = close
+            yield None
+
+
 def parse(html: str) -> tuple[Node, list[str]]:
     """The tree and the contents of its style elements.
 
@@ -74,14 +121,13 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 i -= 1
             cut(i)
 
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        ends, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+    found = tags(html)
+    for start, end, ends, tag, attrs in found:
+        if start > at:
+            stack[-1].children.append(unescape(html[at:start]))
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if ends:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -109,13 +155,14 @@ def parse(html: str) -> tuple[Node, list[str]]:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in END:
-            end = END[tag].search(html, at)
-            body = html[at : end.start() if end else len(html)]
+            close_tag = END[tag].search(html, at)
+            body = html[at : close_tag.start() if close_tag else len(html)]
             if tag == "style":
                 styles.append(body)
             node.children.append(unescape(body) if tag in ("title", "textarea") else body)
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")):
+            at = close_tag.end() if close_tag else len(html)
+            found.send(at)
+        elif tag not in VOID and not (attrs.endswith("/") and (tag in ("svg", "math") or places.get("svg") or places.get("math"))):
             push(node)
     if at < len(html):
         stack[-1].children.append(unescape(html[at:]))
@@ -123,22 +170,45 @@ def parse(html: str) -> tuple[Node, list[str]]:
 
 
 class Hidden:
-    """Whether an element isn't shown: by kind, attribute, inline style, or a plain rule (.class, #id, tag) of a style element."""
+    """How an element is shown: by kind, attribute, inline style, or a rule of a style element whose selector is one compound of tag, classes and id."""
 
     def __init__(self, styles: list[str]):
-        self.names = {s.strip().lower() for css in styles for m in RULE.finditer(css) for s in m[1].split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-
-    def __call__(self, node: Node) -> bool:
-        if node.tag in NEVER or node.tag in self.names:
-            return True
-        if not node.attrs:
-            return node.tag == "dialog"
-        a = node.get()
-        if "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input":
-            return True
-        if "style" in a and HIDING.search(a["style"]):
-            return True
-        return bool(self.names) and (any("." + c.lower() in self.names for c in a.get("class", "").split()) or "#" + a.get("id", "").lower() in self.names)
+        self.rules: dict[str, list[tuple[str, frozenset[str], str, str]]] = {}
+        for css in styles:
+            for m in RULE.finditer(PRINT.sub("", COMMENT.sub("", css))):
+                says = "none" if NONE.search(m[2]) else unseen[1].lower() if (unseen := UNSEEN.search(m[2])) else ""
+                if says:
+                    for one in m[1].split(","):
+                        if (simple := SIMPLE.fullmatch(one.strip())) and simple[0]:
+                            names = re.findall(r"[.#][\w-]+", simple[2])
+                            tag = "" if simple[1] in (None, "*") else simple[1].lower()
+                            # kept by one name that an element must have
+                            self.rules.setdefault(names[0].lower() if names else tag, []).append((tag, frozenset(n.lower() for n in names), says, simple[0]))
+
+    def __call__(self, node: Node) -> str:
+        """none: not there; hidden, collapse or visible: what visibility becomes; empty: as around it."""
+        if node.tag in NEVER:
+            return "none"
+        if not node.attrs and not self.rules:
+            return "none" if node.tag == "dialog" else ""
+        a = node.get() if node.attrs else {}
+        if "hidden" in a or node.tag == "dialog" and "open" not in a:
+            return "none"
+        says = ""
+        if self.rules:
+            names = {"." + c.lower() for c in a.get("class", "").split()} | ({"#" + a["id"].lower()} if a.get("id") else set())
+            for name in (node.tag, "", *sorted(names)):
+                for tag, needed, rule, _ in self.rules.get(name, ()):
+                    if tag in ("", node.tag) and needed <= names:
+                        if rule == "none":
+                            return "none"
+                        says = rule
+        if style := a.get("style"):
+            if NONE.search(style):
+                return "none"
+            if unseen := UNSEEN.search(style):
+                says = unseen[1].lower()
+        return says
 
 
 class Lines:
@@ -182,7 +252,12 @@ class Lines:
 
 
 def _number(text: str, default: int) -> int:
-    return int(text) if re.fullmatch(r"-?[0-9]{1,6}", text) else default
+    """The integer that a text begins with, at most 10^9 from 0."""
+    m = re.match(r"\s*([+-]?)0*([0-9]+)", text)
+    if not m:
+        return default
+    size = int(m[2]) if len(m[2]) < 10 else 10**9
+    return -size if m[1] == "-" else size
 
 
 def run(step: Generator):
@@ -198,76 +273,114 @@ def run(step: Generator):
     return value
 
 
-def render(node: Node, hidden: Hidden, out: Lines, pre: bool = False) -> Generator:
+def svg_texts(node: Node) -> Generator:
+    """The text elements of a drawing; other characters in it aren't shown."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.tag == "text":
+            yield n
+        elif n.tag not in ("defs", "symbol", "title", "desc", "metadata"):
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+
+
+def render(node: Node, hidden: Hidden, out: Lines, pre: bool = False, seen: bool = True) -> Generator:
+    """Put a node's content into lines.  ``seen``: whether visibility lets text show; an element inside may be visible again."""
     flat = out.level >= LEVELS
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if seen:
+                out.text(child, pre)
             continue
         tag = child.tag
         if tag == "br":
             out.flush(True)
             continue
-        if hidden(child):
+        how = hidden(child)
+        if how == "none":
             continue
+        shown = how == "visible" if how else seen
         if tag == "table" and not flat:
             out.margin()
-            out.add((yield table_lines(child, hidden, out.level + 1)))
+            out.add((yield table_lines(child, hidden, out.level + 1, shown)))
             out.margin()
         elif tag in ("ul", "ol", "menu", "dir") and not flat:
             nested = node.tag == "li"
             out.flush() if nested else out.margin()
-            items = yield list_lines(child, hidden, tag == "ol", out.level + 1)
+            items = yield list_lines(child, hidden, tag == "ol", out.level + 1, shown)
             if items:
                 out.add(items)
             out.flush() if nested else out.margin()
         elif tag == "details" and "open" not in child.get():
             out.flush()
             for x in child.children:
-                if isinstance(x, Node) and x.tag == "summary" and not hidden(x):
-                    yield render(x, hidden, out, pre)
+                if isinstance(x, Node) and x.tag == "summary" and hidden(x) != "none":
+                    yield render(x, hidden, out, pre, shown)
                     break
             out.flush()
+        elif tag == "svg":
+            for x in svg_texts(child):
+                if hidden(x) != "none":
+                    out.text(" ", pre)
+                    yield render(x, hidden, out, pre, shown)
+                    out.text(" ", pre)
+        elif tag == "input":
+            a = child.get()
+            if shown and a.get("type", "text").lower() in SHOWN and a.get("value"):
+                out.text(a["value"], pre)
+        elif tag == "textarea":
+            if shown:
+                out.text("".join(x for x in child.children if isinstance(x, str)), True)
+        elif tag == "select":
+            options = [x for x in child.children for x in (x.children if isinstance(x, Node) and x.tag == "optgroup" else [x]) if isinstance(x, Node) and x.tag == "option" and hidden(x) != "none"]
+            if "multiple" not in child.get():  # one is shown, the last that is selected or else the first
+                options = [x for x in options if "selected" in x.get()][-1:] or options[:1]
+            for k, x in enumerate(options):
+                if k:
+                    out.text(" ", pre)
+                yield render(x, hidden, out, pre, shown)
         elif tag in BLOCK:
             out.margin() if tag in MARGIN else out.flush()
-            if flat and tag == "li":
+            if flat and tag == "li" and shown:
                 out.text("- ", True)
             if tag in ("blockquote", "dd") and not flat:
                 inner = Lines(out.level + 1)
-                yield render(child, hidden, inner, pre)
+                yield render(child, hidden, inner, pre, shown)
                 inner.flush()
                 if inner.lines:
                     out.add(["  " + x if x else x for x in inner.lines])
             else:
-                yield render(child, hidden, out, pre or tag == "pre")
+                yield render(child, hidden, out, pre or tag == "pre", shown)
             out.margin() if tag in MARGIN else out.flush()
         elif tag == "q":
-            out.text('"', pre)
-            yield render(child, hidden, out, pre)
-            out.text('"', pre)
+            if shown:
+                out.text('"', pre)
+            yield render(child, hidden, out, pre, shown)
+            if shown:
+                out.text('"', pre)
         elif tag not in VOID:
-            yield render(child, hidden, out, pre)
+            yield render(child, hidden, out, pre, shown)
 
 
-def _inner(node: Node, hidden: Hidden, level: int) -> Generator:
+def _inner(node: Node, hidden: Hidden, level: int, seen: bool) -> Generator:
     inner = Lines(level)
-    yield render(node, hidden, inner)
+    yield render(node, hidden, inner, False, seen)
     inner.flush()
     return inner.lines
 
 
-def list_lines(node: Node, hidden: Hidden, ordered: bool, level: int) -> Generator:
+def list_lines(node: Node, hidden: Hidden, ordered: bool, level: int, seen: bool) -> Generator:
     """A marker before each item, and its other lines indented as far."""
     out, number = [], _number(node.get().get("start", ""), 1) if node.attrs else 1
     loose = Node("li")
     for child in [*node.children, None]:
         if isinstance(child, Node) and child.tag == "li" or child is None:
             if loose.children:
-                out += yield _inner(loose, hidden, level)
+                out += yield _inner(loose, hidden, level, seen)
                 loose = Node("li")
-            if child is None or hidden(child):
+            if child is None or (how := hidden(child)) == "none":
                 continue
-            lines = yield _inner(child, hidden, level)
+            lines = yield _inner(child, hidden, level, how == "visible" if how else seen)
             mark = f"{number}. " if ordered else "- "
             number += 1
             if lines:
@@ -277,57 +390,71 @@ def list_lines(node: Node, hidden: Hidden, ordered: bool, level: int) -> Generat
     return out
 
 
-def table_lines(node: Node, hidden: Hidden, level: int) -> Generator:
+def table_lines(node: Node, hidden: Hidden, level: int, seen: bool) -> Generator:
     """Rows with cells padded to their columns' widths, two spaces apart; a cell of several lines takes several lines."""
     out: list[str] = []
     rows: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    until: dict[int, int] = {}  # the last row that a cell from above takes of a column
 
-    def walk(n: Node) -> Generator:
+    def walk(n: Node, shown: bool) -> Generator:
         for child in n.children:
             if isinstance(child, str):
-                if child.strip():
+                if shown and child.strip():
                     out.append(SPACE.sub(" ", child).strip())
-            elif hidden(child):
                 continue
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                yield walk(child)
+            if (how := hidden(child)) == "none":
+                continue
+            inside = how == "visible" if how else shown
+            if child.tag in ("tbody", "thead", "tfoot"):
+                yield walk(child, inside)
             elif child.tag == "tr":
                 row, column, r = [], 0, len(rows)
                 for cell in child.children:
-                    if isinstance(cell, str) and not cell.strip() or isinstance(cell, Node) and hidden(cell):
+                    how = "" if isinstance(cell, str) else hidden(cell)
+                    if isinstance(cell, str) and not cell.strip() or how == "none":
                         continue
                     if isinstance(cell, str) or cell.tag not in ("td", "th"):
                         holder = Node("td")
                         holder.children.append(cell)
                         cell = holder
-                    while (r, column) in taken:
+                    while until.get(column, -1) >= r:
                         column += 1
                     a = cell.get() if cell.attrs else {}
-                    wide, high = max(1, min(_number(a.get("colspan", ""), 1), 100)), max(1, min(_number(a.get("rowspan", ""), 1), 100))
-                    for i in range(1, high):
-                        for j in range(wide):
-                            taken[r + i, column + j] = True
-                    row.append((column, wide, (yield _inner(cell, hidden, level))))
+                    wide, high = max(1, min(_number(a.get("colspan", ""), 1), WIDEST)), max(1, min(_number(a.get("rowspan", ""), 1), HIGHEST))
+                    if high > 1:
+                        until.update(dict.fromkeys(range(column, column + wide), r + high - 1))
+                    row.append((column, wide, (yield _inner(cell, hidden, level, how == "visible" if how else inside))))
                     column += wide
                 rows.append(row)
             else:
                 holder = Node("div")
                 holder.children.append(child)
-                out.extend((yield _inner(holder, hidden, level)))
+                out.extend((yield _inner(holder, hidden, level, shown)))
 
-    yield walk(node)
+    yield walk(node, seen)
     width: dict[int, int] = {}
     for row in rows:
         for column, wide, lines in row:
             if wide == 1:
                 width[column] = max([width.get(column, 0), *map(len, lines)])
+    # a cell over several columns widens the last of them if they are too narrow for it
+    for wide, column, lines in sorted(((wide, column, lines) for row in rows for column, wide, lines in row if wide > 1), key=lambda x: x[:2]):
+        own = [width[c] + 2 for c in range(column, column + wide) if c in width]
+        short = max([0, *map(len, lines)]) - (sum(own) - 2 if own else 0)
+        if short > 0:
+            last = column + wide - 1
+            width[last] = width[last] + short if last in width else max(0, short - 2 * bool(own))
+    # where columns start; those without a width take no room
+    places, edge = sorted(width), [0]
+    for c in places:
+        edge.append(edge[-1] + width[c] + 2)
     for row in rows:
         for k in range(max([len(lines) for *_, lines in row], default=0)):
             line = ""
             for column, _, lines in row:
-                start = sum(width.get(c, 0) + 2 for c in range(column))
-                line = line.ljust(max(start, len(line.rstrip()) + 2 if line else 0)) + (lines[k] if k < len(lines) else "")
+                if k < len(lines) and lines[k]:
+                    start = edge[bisect_left(places, column)]
+                    line = line.ljust(max(start, len(line.rstrip()) + 2 if line else 0)) + lines[k]
             out.append(line.rstrip())
     return out
 
@@ -340,10 +467,10 @@ def extract(html: str | None) -> str | None:
     hidden = Hidden(styles)
     if root.attrs.strip():  # attributes of html and body
         root.tag = "body"
-        if hidden(root):
+        if hidden(root) == "none":
             return ""
     out = Lines()
-    run(render(root, hidden, out))
+    run(render(root, hidden, out, False, hidden(root) not in ("hidden", "collapse")))
     out.flush()
     return "\n".join(out.lines).strip("\n")
 
@@ -353,7 +480,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null html gives null text with zero counts, empty html an empty text.
     Broken markup never fails: unclosed, stray and unknown tags follow the tree
-    builder's rules.  Other columns aren't read.
+    builder's rules.  Very long and deep pages are read whole, repeated rows
+    alike.  Visibility follows the hidden attribute, inline styles and rules of
+    style elements for one tag, class, id or a compound of them; selectors with
+    combinators, linked sheets and scripts aren't followed.  Of controls the
+    values shown count, of drawings the text elements.  Other columns aren't
+    read, whatever their names.  An empty table gives no rows.
     """
 
     def make():

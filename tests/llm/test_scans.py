@@ -197,6 +197,62 @@ def test_html_keeps_the_text_of_deep_layout(source):
     assert html.extract(source * 3000 + "<i hidden>no</i>").count("x") == 3000 * source.count("x")
 
 
+@pytest.mark.parametrize("source, expected", [
+    ("<a title='" + "x" * 250_000 + ">leak'>k</a>", "k"), ("<div>" * 210 + "<span hidden>SECRET</span>v", "v"), ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<style>div.x{display:none} p#a.b , i{ display : none } @media print{.y{display:none}} /* b{display:none} */</style><div class='q x'>no</div><p class=x>p</p><p id=a class=b>no</p><i>no</i><b class=y>y</b>", "p\n\ny"),
+    ("<textarea>a\n b</textarea>", "a\n b"), ("<select><option>one<option selected>two</select>", "two"), ("<select multiple><option>one<option>two</select>", "one two"), ("<input type=submit value=Go><input type=hidden value=no><input type=password value=no>", "Go"),
+    ("<svg><title>no</title><defs><text>no</text></defs><rect/><g><text>A<tspan>B</tspan></text></g>no</svg>z", "AB z"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"), ("<b '>i</b>", "i"), ("<a href=\"x>y", "y"),
+    ("<table><tr><td colspan=150>w<td>e<tr>" + "".join(f"<td>{k % 10}" for k in range(151)) + "</table>", "w" + " " * 449 + "e\n" + "  ".join(f"{k % 10}" for k in range(151))),
+    ("<table>" + "<tr><td rowspan=130>a<td>b" + "<tr><td>c" * 129 + "<tr><td>d</table>", "a  b\n" + "   c\n" * 129 + "d"), ("<table><tr><td rowspan=99999999 colspan=1000>a<td>b<tr><td>c</table>", "a  b\n" + "   c"),
+])
+def test_html_rules(source, expected):
+    assert html.extract(source) == expected
+
+
+def test_html_of_random_trees():
+    """The visible words of a tree, known from how it was made, whatever the tags around them."""
+    rng = random.Random(11)
+    blocks, inline = ["div", "p", "section", "ul", "ol", "blockquote", "h2", "table", "pre", "article"], ["span", "b", "em", "a", "code"]
+
+    def grow(depth, shown, words):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.4 or depth > 6:
+                word = "w" + "".join(rng.choices("abcdefgh", k=6))
+                if shown:
+                    words.append(word)
+                parts.append(f" {word} ")
+            elif kind < 0.5:
+                parts.append(rng.choice(["<!-- no <b>no</b> -->", "<script>no<p>no</script>", "<style>z{color:red}</style>", "<br>", "<img alt='no>no'>", "<template>no</template>"]))
+            else:
+                tag = rng.choice(blocks if kind < 0.75 else inline)
+                hide = rng.random() < 0.2
+                attrs = rng.choice([" hidden", " style='display: none'", " class='gone'"]) if hide else rng.choice(["", " class=c", ' title="a > b"', " data-x='<p>'"])
+                inner = grow(depth + 1, shown and not hide, words)
+                if tag in ("ul", "ol"):
+                    inner = f"<li>{inner}"  # its end tag is implied
+                elif tag == "table":
+                    inner = f"<tr><td>{inner}"
+                elif tag == "p" and "<" in inner:
+                    tag = "div"
+                parts.append(f"<{tag}{attrs}>{inner}</{tag}>")
+        return "".join(parts)
+
+    for _ in range(300):
+        words: list[str] = []
+        page = "<style>.gone{display:none}</style>" + grow(0, True, words)
+        found = re.findall(r"w[a-h]{6}", html.extract(page))
+        assert found == words and "no" not in html.extract(page).replace("w", "").split()
+
+
+def test_html_takes_linear_time():
+    for piece in ("<a b='>' ", "<a ", "<b 'x", '<i t="', "<!-- ", "<!", "</", "<p>", "<td>", "<a b='>'\"", "<a b=\"'>"):
+        began = time.process_time()
+        html.extract(piece * 60_000)
+        assert time.process_time() - began < 20, piece
+
+
 def test_html_deep_and_empty(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<div>" * 5000 + "deep" + "<ul><li>" * 3000 + "er"), (None, "<p>x")], "page_id long, html string").withColumn("text", F.lit(0))
     found = {r["page_id"]: r for r in html.extract_pages(pages).collect()}
