@@ -57,17 +57,20 @@ class CombOps:
             raise ValueError("r must not be negative")
         return self._tuples(r, lambda seen, p: F.element_at(seen, -1) <= p)
 
-    def power_set(self, most: int = 24):
-        """All subsets, by size and then position; refuses more than ``most`` items."""
+    def power_set(self, most: int | None = None):
+        """All subsets, by size and then position; refuses more than ``most`` items, where given.
+
+        A subset is a number of a range, so the subsets are spread over tasks; from 63 items on there is no such range.
+        """
         from ordinate.seq import hidden
 
         seq, at = self.seq.positioned("power_set")
         n = seq.df.count()
-        if n > most:
+        if n > (62 if most is None else min(most, 62)):
             raise ValueError(f"2^{n} subsets are too many")
         if not n:
             return self._tuples(0, None)
-        whole = seq._df.agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("p"), seq.item().alias("v")))).alias("all"))  # at most ``most`` items
+        whole = seq._df.agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("p"), seq.item().alias("v")))).alias("all"))  # at most 62 items
         masks = seq._df.sparkSession.range(1 << n).crossJoin(F.broadcast(whole))
         chosen = F.filter("all", lambda x: F.col("id").bitwiseAND(F.pow(F.lit(2), x["p"]).cast("long")) != 0)
         size, place = hidden(), hidden()

@@ -15,6 +15,8 @@ STATIC = {
     int: (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType), float: (T.FloatType, T.DoubleType), bool: (T.BooleanType,),
     str: (T.StringType,), list: (T.ArrayType,), dict: (T.MapType, T.StructType), bytes: (T.BinaryType,),
 }
+#: More rows than these are skipped by position, not by a top-k.
+MOST_BY_BOUND = 100_000
 CASTS = {int: "bigint", float: "double", bool: "boolean", str: "string"}
 
 
@@ -89,11 +91,24 @@ class Core:
         return self.with_rows(self._df.orderBy(*ordering(self.keys)).limit(count))
 
     def skip(self, count: int):
-        """All but the first ``count``; a negative count keeps the last ones."""
+        """All but the first ``count``; a negative count keeps the last ones.
+
+        A few are found by a top-k, whose last row bounds the rest; many by position.  Neither brings the rest to one task.
+        """
         self.need_order("skip")
         if count < 0:
             return self.reverse().take(-count).reverse()
-        return self.with_rows(self._df.orderBy(*ordering(self.keys)).offset(count)) if count else self
+        if not count:
+            return self
+        if count > MOST_BY_BOUND:
+            seq, at = self.positioned("skip")
+            return seq.with_rows(seq._df.where(F.col(at) >= count))
+        names = [f"__b{i}" for i in range(len(self.keys))]
+        first = self._df.select(*[n for n, _ in self.keys]).orderBy(*ordering(self.keys)).limit(count)
+        last = first.orderBy(*ordering([(n, not down) for n, down in self.keys])).limit(1)
+        bound = last.select(*[F.col(n).alias(b) for (n, _), b in zip(self.keys, names)])
+        joined = self._df.join(F.broadcast(bound), F.lit(True))  # one row
+        return self.with_rows(joined.where(~before(self.keys, [F.col(b) for b in names], True)).drop(*names))
 
     def _split_at_failure(self, predicate: Selector, first: bool):
         self.need_order("take_while")

@@ -72,16 +72,20 @@ class StatsOps:
         return self._extreme(selector, False)
 
     def quantiles(self, qs: list[float], selector: Selector = None) -> DataFrame:
-        """One row with ``n`` and ``q``, the exact quantiles (0 to 1) by linear interpolation, from a distributed sort."""
+        """One row with ``n`` and ``q``, the exact quantiles (0 to 1) by linear interpolation.
+
+        From the distinct values with their counts, so that no frequent value is hot.
+        """
         value = self._value(selector).cast("double")
-        df = self.seq._df.select(value.alias("v")).where("v is not null")
-        placed = with_position(df, [("v", False)], "p")
-        total = df.agg(F.count("*").alias("n"))
+        distinct = self.seq._df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+        placed = running(with_position(distinct, [("v", False)], "p"), "p", {"upto": ("sum", F.col("c"))})
+        total = placed.agg(F.sum("c").alias("n"))
         joined = placed.crossJoin(F.broadcast(total))  # one row
+        here = lambda p: (p >= F.col("upto") - F.col("c")) & (p < F.col("upto"))
         parts = []
         for k, q in enumerate(qs):
             at = (F.col("n") - 1) * F.lit(float(q))
-            parts += [F.max(F.when(F.col("p") == F.floor(at), F.col("v"))).alias(f"l{k}"), F.max(F.when(F.col("p") == F.ceil(at), F.col("v"))).alias(f"h{k}"), F.max(at - F.floor(at)).alias(f"f{k}")]
+            parts += [F.max(F.when(here(F.floor(at)), F.col("v"))).alias(f"l{k}"), F.max(F.when(here(F.ceil(at)), F.col("v"))).alias(f"h{k}"), F.max(at - F.floor(at)).alias(f"f{k}")]
         found = joined.agg(F.max("n").alias("n"), *parts)
         return found.select(F.coalesce("n", F.lit(0)).alias("n"), F.array(*[F.col(f"l{k}") + (F.col(f"h{k}") - F.col(f"l{k}")) * F.col(f"f{k}") for k in range(len(qs))]).alias("q"))
 
@@ -112,7 +116,7 @@ class StatsOps:
         df = in_windows(seq._df, at, back, ahead, {name: make})
         if skip:
             df = df.where(F.col(at) >= skip)
-        return seq.with_rows(df, [*[c for c in seq.columns if c != name], name])
+        return seq.with_rows(df, [*[c for c in seq.columns if c != name], name], dense=not skip)
 
     def rolling_window(self, size: int, aggregate: Callable[[Column], Column], selector: Selector = None, name: str = "value"):
         """An aggregate (of a column, under a window) over each ``size`` items, at the last of them."""
@@ -153,7 +157,7 @@ class StatsOps:
     def _running(self, kind: str, selector: Selector, name: str, numeric: bool = True):
         value = self._value(selector, numeric)
         seq, at = self.seq.positioned(f"cumulative_{kind}")
-        return seq.with_rows(running(seq._df, at, {name: (kind, value)}), [*[c for c in seq.columns if c != name], name])
+        return seq.with_rows(running(seq._df, at, {name: (kind, value)}), [*[c for c in seq.columns if c != name], name], dense=True)
 
     def cumulative_sum(self, selector: Selector = None, name: str = "cumulative_sum"):
         return self._running("sum", selector, name)
@@ -170,7 +174,7 @@ class StatsOps:
     def scan(self, accumulator: str | Callable[[Column, Column], Column], seed: Any, selector: Selector = None):
         """The seed and every prefix's fold, as ``value``.  ``sum``, ``min``, ``max`` and ``product`` stay distributed.
 
-        Any other fold is sequential by nature and runs over one array.
+        Any other fold is sequential by nature: it runs in one task, over one array of all values.
         """
         from ordinate.seq import hidden
 

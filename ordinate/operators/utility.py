@@ -14,11 +14,14 @@ from ordinate.functions.selectors import Selector, one, truth
 from ordinate.plans.checkpoints import checkpoint
 
 BASE = 1 << 52
+#: Steps of unfold in a round.
+UNFOLD = 200
 
 
 def uniform(seed: int, *values: Column) -> Column:
-    """In [0, 1), from a hash of seed and values: the same however the data are partitioned."""
-    return F.xxhash64(F.lit(seed), *values).bitwiseAND(F.lit(BASE - 1)).cast("double") / float(BASE)
+    """In [0, 1), 52 bits of an MD5 of seed and values: the same however the data are partitioned, and in any SQL."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(BASE)
 
 
 class UtilOps:
@@ -44,10 +47,14 @@ class UtilOps:
 
     def flatten_deep(self, selector: Selector = None):
         """Arrays in arrays, all the way down."""
-        return self.flatten(64, selector)
+        seq = self.seq if selector is None else self.seq.select(selector)
+        kind, depth = seq._df.schema[seq.columns[0]].dataType, 0
+        while isinstance(kind, T.ArrayType):
+            kind, depth = kind.elementType, depth + 1
+        return seq.util.flatten(depth)
 
     def transpose(self, selector: Selector = None):
-        """Arrays ``items``, one for each place within the rows' arrays; short rows give nulls."""
+        """Arrays ``items``, one for each place within the rows' arrays; short rows give nulls.  An array holds a value of every row, so one task makes it."""
         seq, at = self.seq.positioned("transpose")
         cells = seq._df.select(F.col(at).alias("r"), F.posexplode(one(selector, seq.row())).alias("c", "v"))
         rows = seq._df.select(F.col(at).alias("r"))
@@ -171,18 +178,36 @@ class UtilOps:
     def parse_or_default(self, parser: Selector, default: Any = None):
         return self.seq.select(lambda r: {"value": F.coalesce(one(parser, r), F.lit(default))})
 
-    def unfold(self, first: Selector, following: Callable[[Column], Column], most: int = 1000):
-        """For each item its seed and what follows, until null; more than ``most`` steps are an error."""
+    def unfold(self, first: Selector, following: Callable[[Column], Column], most: int | None = None):
+        """For each item its seed and what follows, until null; more than ``most`` steps are an error, where given.
+
+        Runs UNFOLD steps at a time; only items that aren't at their end go on to the next round, of which each is written.
+        """
+        from ordinate.seq import hidden
+
         start = one(first, self.seq.row())
         kind = self.seq._df.select(start.alias("s")).schema["s"].dataType
+        keys = [n for n, _ in self.seq.keys]
 
         def step(a: Column, _: Column) -> Column:
             last = F.element_at(a, -1)
             return F.when(last.isNull(), a).otherwise(F.concat(a, F.array(following(last).cast(kind))))
 
-        made = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(start), step)
-        checked = F.when(F.element_at(made, -1).isNotNull(), F.raise_error(F.lit("unfold doesn't end")).cast(T.ArrayType(kind))).otherwise(F.filter(made, lambda x: x.isNotNull()))
-        return self.seq.select_many(lambda r: checked)
+        left, rounds, done = self.seq._df.select(start.cast(kind).alias("__s"), *keys), 0, None
+        number, place = hidden(), hidden()
+        while True:
+            made = F.aggregate(F.sequence(F.lit(1), F.lit(UNFOLD)), F.array("__s"), step)
+            part = checkpoint(left.where("__s is not null").select(made.alias("__a"), *keys))
+            more = F.element_at("__a", -1)
+            # the last of a full array starts the next round
+            values = F.when(more.isNotNull(), F.slice("__a", 1, F.size("__a") - 1)).otherwise(F.filter("__a", lambda x: x.isNotNull()))
+            rows = part.select(F.posexplode(values).alias(place, "value"), F.lit(rounds).alias(number), *keys)
+            done = rows if done is None else done.unionByName(rows)
+            left, rounds = part.where(more.isNotNull()).select(more.alias("__s"), *keys), rounds + 1
+            if left.isEmpty():
+                return self.seq.with_rows(done, ["value"], [*self.seq.keys, (number, False), (place, False)])
+            if most is not None and rounds * UNFOLD > most:
+                raise ValueError("unfold doesn't end")
 
     def topological_sort(self, key: Selector, depends_on: Selector):
         """Items after all they depend on: by level, then order.  Unknown dependencies don't count; a cycle is an error.

@@ -1,23 +1,25 @@
 """Positions, halos and running totals over a whole ordered sequence without a single-task window.
 
-Up to ROWS_PER_BUCKET rows one window does.  Beyond, rows fall into buckets by a
-pure function of their keys (bounds from a fixed, bounded sample), windows run
-in each bucket, and bucket totals, of which there are few, carry over.  Nothing
-depends on partition numbers, so a recomputed task gives the same positions.
+Rows are range-partitioned by all their keys, from bounds that a sample of rows
+gives, sorted where they are, numbered and written; partition totals, of which
+there are few, carry over.  So positions are made once, however often they are
+read, and a lost executor changes none.  Windows over positions run in buckets
+of ROWS_PER_BUCKET rows with copies of the rows near their edges.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ordinate.plans.checkpoints import checkpoint
+
 ROWS_PER_BUCKET = 1_000_000
-MOST_BUCKETS = 512
-SAMPLE_PER_BUCKET = 20
+#: A row's number within its partition has so many bits in monotonically_increasing_id.
+LOCAL_BITS = 33
 
 Key = tuple[str, bool]
 
@@ -38,33 +40,21 @@ def before(keys: Sequence[Key], bounds: Sequence[Column], or_equal: bool = False
     return result
 
 
-def with_position(df: DataFrame, keys: Sequence[Key], name: str, rows_per_bucket: int | None = None, per: Sequence[str] = ()) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[Key], name: str) -> DataFrame:
+    """Rows in key order over range partitions, with the partition and the place in it as one number; written, so that it stays."""
+    ranged = df.repartitionByRange(*ordering(keys)).sortWithinPartitions(*ordering(keys))
+    return checkpoint(ranged.withColumn(name, F.monotonically_increasing_id()))
+
+
+def with_position(df: DataFrame, keys: Sequence[Key], name: str) -> DataFrame:
     """Add a 0-based position in key order; ``keys`` must be unique to be reproducible."""
-    if per:
-        order = Window.partitionBy(*per).orderBy(*ordering(keys))
-        return df.withColumn(name, F.row_number().over(order).cast("long") - 1)
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    rows = df.count()
-    buckets = min(MOST_BUCKETS, math.ceil(rows / rows_per_bucket))
-    if buckets <= 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*ordering(keys))).cast("long") - 1)
-    # the leading keys of one direction are compared as a struct
-    down = keys[0][1]
-    lead = []
-    for key, other in keys:
-        if other != down:
-            break
-        lead.append(f"`{key}`")
-    picked = df.select(*lead).distinct().orderBy(F.xxhash64(*lead), *lead).limit(buckets * SAMPLE_PER_BUCKET)
-    bounds = picked.agg(F.array_sort(F.collect_list(F.struct(*lead))).alias("__b")).select(
-        F.expr(f"filter(__b, (x, i) -> (i + 1) % {SAMPLE_PER_BUCKET} = 0)").alias("__bounds")
-    )
-    below = F.size(F.filter(F.col("__bounds"), lambda b: b < F.struct(*lead)))
-    bucketed = df.crossJoin(F.broadcast(bounds)).withColumn("__bucket", -below if down else below).drop("__bounds")  # one row of at most MOST_BUCKETS bounds
-    counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__offset"))
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*ordering(keys))).cast("long") - 1
-    return bucketed.withColumn(name, local).join(F.broadcast(offsets), "__bucket").withColumn(name, F.col(name) + F.col("__offset")).drop("__bucket", "__offset")
+    kept = numbered(df, keys, name)
+    part = F.shiftright(name, LOCAL_BITS).cast("int")
+    counts = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # one row for each partition
+    offsets = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__offset"))
+    placed = kept.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return placed.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)) + F.col("__offset")).drop("__part", "__offset")
 
 
 def in_windows(df: DataFrame, position: str, back: int, ahead: int, columns: dict, rows_per_bucket: int | None = None) -> DataFrame:

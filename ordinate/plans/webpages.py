@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import count
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,7 +17,7 @@ from pyspark.sql import Window
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SCHEMA = "page_id long, node int, parent int, depth int, path array<int>, tag string, classes array<string>, text string, n_children int, has_links boolean, href string"
+SCHEMA = "page_id long, node int, parent int, depth int, path array<int>, tag string, classes array<string>, text string, n_children int, has_links boolean, href string, content string"
 KEYWORDS = {
     "product": ("price", "cart", "add", "sku", "sale", "$", "€", "£"), "article": ("author", "published", "updated", "by", "copyright", "comments"),
     "contact": ("contact", "address", "phone", "email", "hours", "location"),
@@ -60,7 +61,7 @@ class _Builder(HTMLParser):
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """One row for each element in document order: page_id, node, parent (-1: none), depth, path, tag, classes, text, n_children, has_links, href."""
+    """One row for each element in document order: page_id, node, parent (-1: none), depth, path, tag, classes, text, n_children, has_links, href, content (of a description)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,9 +69,9 @@ def elements(pages: DataFrame) -> DataFrame:
                 builder = _Builder()
                 builder.feed(html or "")
                 builder.close()
-                rows = [(page, n, x[0], x[1], x[2], x[3], (x[4].get("class") or "").split(), "".join(x[5]), x[6], x[3] == "a" and "href" in x[4], x[4].get("href") if x[3] == "a" else None) for n, x in enumerate(builder.nodes)]
+                rows = [(page, n, x[0], x[1], x[2], x[3], (x[4].get("class") or "").split(), "".join(x[5]), x[6], x[3] == "a" and "href" in x[4], x[4].get("href") if x[3] == "a" else None, x[4].get("content") if x[3] == "meta" and x[4].get("name") == "description" else None) for n, x in enumerate(builder.nodes)]
                 if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.bool_(), pa.string()]
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[p.split()[0] for p in SCHEMA.split(", ")])
 
     return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, SCHEMA)
@@ -162,41 +163,118 @@ def data_items(rows: DataFrame, dominant: DataFrame, found: DataFrame) -> DataFr
     return first.groupBy("page_id", F.col("top_node").alias("node")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_path", "text")))).alias("items"))
 
 
+def traverse_and_extract(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """(page_id, node, field_path, text) for starts (page_id, node, field_path): step by step to the first child with the step's tag or class.
+
+    Paths that lead nowhere have no row.  One join for each step of the longest path.
+    """
+    children = rows.select("page_id", F.col("parent").alias("__at"), F.col("node").alias("__to"), "tag", "classes")
+    state = starts.select("page_id", "node", "field_path", F.split(F.btrim("field_path", F.lit(".")), r"\.").alias("__steps"), F.col("node").alias("__at"))
+    longest = state.agg(F.max(F.size("__steps"))).first()[0] or 0
+    arrived = None
+    for k in range(longest):
+        part = F.col("__steps")[k]
+        found = state.join(children, ["page_id", "__at"]).where((F.col("tag") == part) | F.array_contains("classes", part))
+        state = found.groupBy("page_id", "node", "field_path", "__steps").agg(F.min("__to").alias("__at"))
+        here = state.where(F.size("__steps") == k + 1)
+        arrived = here if arrived is None else arrived.unionByName(here)
+        state = state.where(F.size("__steps") > k + 1)
+    if arrived is None:
+        return starts.select("page_id", "node", "field_path", F.lit("").alias("text")).limit(0)
+    texts = rows.select("page_id", F.col("node").alias("__at"), "text")
+    return arrived.join(texts, ["page_id", "__at"]).select("page_id", "node", "field_path", "text")
+
+
+def extracted_data(rows: DataFrame, dominant: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for each element of a page's dominant pattern with a text at the end of a field's path: page_id, node, items (last step -> text).
+
+    Paths are followed from the element's children on, as traverse_and_extract does; of paths with one last step the greatest path counts.
+    """
+    tops = rows.join(dominant.select("page_id", "signature"), ["page_id", "signature"]).select("page_id", "node")
+    texts = traverse_and_extract(rows, tops.join(found.select("page_id", "field_path"), "page_id")).where("text <> ''")
+    name = F.regexp_replace(F.element_at(F.split("field_path", r"\."), -1), "-", "_")
+    last = texts.groupBy("page_id", "node", name.alias("name")).agg(F.max_by("text", "field_path").alias("text"))
+    return last.groupBy("page_id", "node").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("items"))
+
+
 def titles(rows: DataFrame) -> DataFrame:
     """(page_id, title) of all elements, not only the body's: the text of the first title element."""
     return rows.where("tag = 'title'").groupBy("page_id").agg(F.min_by("text", "node").alias("title"))
 
 
-def child_links(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """Distinct absolute links to the page's own host: (page_id, link)."""
-    base = pages.select("page_id", F.regexp_extract("url", r"^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", r"^([a-z]+://[^?#]*/)", 1).alias("folder"))
-    joined = rows.where("has_links and href <> ''").select("page_id", "href").join(base, "page_id")
-    whole = F.when(F.col("href").rlike(r"^[a-z]+://"), F.col("href")).when(F.col("href").startswith("//"), F.concat("scheme", F.lit(":"), "href")).when(
-        F.col("href").startswith("/"), F.concat("scheme", F.lit("://"), "host", "href")
-    ).otherwise(F.concat("folder", "href"))
-    return joined.withColumn("link", whole).where(F.regexp_extract("link", r"^[a-z]+://([^/?#]*)", 1) == F.col("host")).select("page_id", "link").distinct()
+def descriptions(rows: DataFrame) -> DataFrame:
+    """(page_id, description) of all elements: the content of the first description."""
+    return rows.where("content is not null").groupBy("page_id").agg(F.min_by("content", "node").alias("description"))
 
 
-def summary(classified: DataFrame, links: DataFrame) -> DataFrame:
-    """Pages, confidence and links of each page type, the most common type first."""
+def child_links(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Distinct absolute links to the page's own host: (page_id, link).  References resolve as RFC 3986 says, dots and bare queries included."""
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, url, href in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    link = urljoin(url, href)
+                    if urlsplit(link).netloc == urlsplit(url).netloc:
+                        out.append((page, link))
+                except ValueError:  # no URL
+                    continue
+            ids, links = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.string())], names=["page_id", "link"])
+
+    joined = rows.where("has_links and href <> ''").select("page_id", "href").distinct().join(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).where("url is not null"), "page_id")
+    return joined.select("page_id", "url", "href").mapInArrow(resolve, "page_id long, link string").distinct()
+
+
+def summary(classified: DataFrame, links: DataFrame, items: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """Pages, confidence and links of each page type, the most common type first.
+
+    With ``items`` (page_id, node, items) also their number and the fields of
+    the first one, with ``named`` (page_id, title) three sample titles.
+    """
     per_page = links.groupBy("page_id").agg(F.count("*").alias("n_links"))
     joined = classified.join(per_page, "page_id", "left").na.fill(0, ["n_links"])
-    return joined.groupBy("type").agg(F.count("*").alias("page_count"), F.avg("confidence").alias("avg_confidence"), F.count_if(F.col("n_links") > 0).alias("pages_with_links"), F.avg("n_links").alias("avg_links_per_page")).orderBy(F.desc("page_count"), "type")
+    made = [F.count("*").alias("page_count"), F.avg("confidence").alias("avg_confidence"), F.count_if(F.col("n_links") > 0).alias("pages_with_links"), F.avg("n_links").alias("avg_links_per_page")]
+    if items is not None:
+        held = items.groupBy("page_id").agg(F.count("*").alias("n_items"), F.min_by(F.map_keys("items"), "node").alias("names"))
+        joined = joined.join(held, "page_id", "left").na.fill(0, ["n_items"])
+        made += [F.sum("n_items").alias("total_data_items"), F.avg("n_items").alias("avg_items_per_page"), F.coalesce(F.min_by("names", F.when(F.col("n_items") > 0, F.col("page_id"))), F.array().cast("array<string>")).alias("discovered_fields")]
+    if named is not None:
+        rank = F.row_number().over(Window.partitionBy("type").orderBy("page_id"))  # only three of each type go on
+        first = joined.select("type", "page_id").withColumn("r", rank).where("r <= 3").join(named, "page_id", "left")
+        samples = first.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.substring(F.coalesce("title", F.lit("")), 1, 50).alias("t")))), lambda x: x["t"]).alias("sample_titles"))
+        return joined.groupBy("type").agg(*made).join(samples, "type", "left").orderBy(F.desc("page_count"), "type")
+    return joined.groupBy("type").agg(*made).orderBy(F.desc("page_count"), "type")
+
+
+def overall(classified: DataFrame, items: DataFrame, samples: int = 5) -> DataFrame:
+    """One row: total_pages, total_data_items, page_types, most_common_page_type, pages_with_data, and the first data items."""
+    held = items.groupBy("page_id").agg(F.count("*").alias("n_items"))
+    types = classified.join(held, "page_id", "left").groupBy("type").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_items", F.lit(0))).alias("items"), F.count("n_items").alias("with_data"))
+    first = items.orderBy("page_id", "node").limit(samples).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "node", F.to_json("items").alias("item")))), lambda x: x["item"]).alias("data_sample"))
+    whole = types.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_pages"), F.coalesce(F.sum("items"), F.lit(0)).alias("total_data_items"), F.array_sort(F.collect_list("type")).alias("page_types"),
+        F.min_by("type", F.struct(-F.col("n"), "type")).alias("most_common_page_type"), F.coalesce(F.sum("with_data"), F.lit(0)).alias("pages_with_data"),
+    )
+    return whole.crossJoin(F.broadcast(first))  # one row each
 
 
-def crawl(pages: DataFrame, links: DataFrame, start: list[str], budget: int = 100, rounds: int | None = None) -> DataFrame:
-    """(url, round) of the pages reached from ``start`` by links, level by level, at most ``budget``; until no page is new if ``rounds`` is None."""
+def crawl(pages: DataFrame, links: DataFrame, start: list[str] | DataFrame, budget: int | None = 100, rounds: int | None = None) -> DataFrame:
+    """(url, round) of the pages reached from ``start`` by links, level by level, at most ``budget`` if one is given; until no page is new if ``rounds`` is None."""
     from ordinate.plans.checkpoints import checkpoint
 
     known = pages.select("page_id", "url")
-    frontier = checkpoint(known.where(F.col("url").isin(start)).withColumn("round", F.lit(0)))
+    first = known.join(start.select("url").distinct(), "url", "left_semi").select("page_id", "url") if isinstance(start, DataFrame) else known.where(F.col("url").isin(start))
+    frontier = checkpoint(first.withColumn("round", F.lit(0)))
     seen = frontier
     for k in count(1) if rounds is None else range(1, rounds + 1):
-        left = budget - seen.count()
-        if left <= 0 or frontier.isEmpty():
+        left = None if budget is None else budget - seen.count()
+        if left is not None and left <= 0 or frontier.isEmpty():
             break
         reached = frontier.select("page_id").join(links, "page_id").select(F.col("link").alias("url")).distinct().join(known, "url").select("page_id", "url")
-        frontier = checkpoint(reached.join(seen, "page_id", "left_anti").orderBy("page_id").limit(left).withColumn("round", F.lit(k)))
+        new = reached.join(seen, "page_id", "left_anti")
+        frontier = checkpoint((new if left is None else new.orderBy("page_id").limit(left)).withColumn("round", F.lit(k)))
         seen = seen.union(frontier)
     return seen.select("url", "round")
 

@@ -10,10 +10,15 @@ from ordinate.sources.factories import TABLE_KEYS
 from ordinate.sources.generator import from_schema
 
 for _table in TABLE_KEYS:
-    if _table not in ("documents", "pages", "embeddings", "conversations", "benchmark"):
+    if _table not in ("embeddings", "conversations"):
         query(f"SELECT * FROM {_table}", f"src_scan_{_table}")(lambda t, n=_table: getattr(t, n))
 
 
+@query("SELECT vec_id, label, len(embedding) AS n, embedding[1]::DOUBLE AS first, list_max(embedding)::DOUBLE AS greatest FROM embeddings")
+def src_scan_embeddings(t: Tables):
+    return t.embeddings.select(lambda r: {"vec_id": r.vec_id, "label": r.label, "n": F.size(r.embedding).cast("long"), "first": r.embedding[0].cast("double"), "greatest": F.array_max(r.embedding).cast("double")})
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def src_scan_conversations(t: Tables):
     return t.conversations
@@ -61,6 +66,17 @@ def gen_from_schema(t: Tables):
     return from_schema(t.spark, schema, 42).take(1000)
 
 
+@query("SELECT 1000::BIGINT AS n, true AS ids, true AS names, true AS tags, true AS lengths, true AS statuses, true AS labels")
+def gen_keeps_its_schema(t: Tables):
+    made = gen_from_schema(t).df
+    every = lambda c, name: F.bool_and(c).alias(name)
+    return made.agg(
+        F.count("*").alias("n"), every(F.col("id").between(1, 100), "ids"), every(F.length("name") > 0, "names"), every(F.forall("tags", lambda x: F.length(x) > 0), "tags"),
+        (F.array_sort(F.collect_set(F.size("tags"))) == F.array(F.lit(1), F.lit(2), F.lit(3))).alias("lengths"), (F.array_sort(F.collect_set("status")) == F.array(F.lit("a"), F.lit("b"))).alias("statuses"),
+        every(F.col("label") == F.concat(F.lit("item-"), F.col("id").cast("string")), "labels"),
+    )
+
+
 # filter and projection
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND value > 50")
 def where(t: Tables):

@@ -119,22 +119,30 @@ def parse_or_default(t: Tables):
 
 
 # sampling: rows by a stated seed
-@query()
+def _uniform(*values: str) -> str:
+    return f"('0x' || substr(md5('3' || {' || '.join(f"':' || {v}" for v in values)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+_DRAWN = f"""numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events),
+drawn AS (SELECT range AS k, floor({_uniform("range")} * (SELECT count(*) FROM events))::BIGINT AS place FROM range({{}}))"""
+
+
+@query(f"SELECT * FROM events ORDER BY {_uniform('event_id')}, event_id LIMIT 100")
 def sample(t: Tables):
     return t.events.util.sample(100, seed=3)
 
 
-@query()
+@query(f"WITH {_DRAWN.format(100)} SELECT event_id, ts, user_id, event_type, value, props FROM drawn JOIN numbered USING (place)")
 def sample_with_replacement(t: Tables):
     return t.events.util.sample(100, replace=True, seed=3)
 
 
-@query()
+@query(f"SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_uniform('event_id')}, event_id) <= 5")
 def stratified_sample(t: Tables):
     return t.events.util.stratified_sample("event_type", 5, seed=3)
 
 
-@query()
+@query(f"WITH {_DRAWN.format(1000)} SELECT k // 50 AS sample_id, event_id, value FROM drawn JOIN numbered USING (place)")
 def bootstrap_sample(t: Tables):
     return t.events.select(("event_id", "value")).util.bootstrap_sample(20, 50, seed=3)
 
@@ -255,14 +263,52 @@ def web_fields(t: Tables):
     return webpages.fields(rows, webpages.classify(rows).where("signature is not null"))
 
 
+def _explored(t: Tables):
+    """(all elements, those of bodies with signatures, classified pages, fields) of the pages."""
+    every = webpages.elements(t.pages.df)
+    rows = webpages.with_signature(webpages.body_elements(every))
+    classified = webpages.classify(rows)
+    return every, rows, classified, webpages.fields(rows, classified.where("signature is not null"))
+
+
 @query()
 def web_items(t: Tables):
-    rows = webpages.with_signature(webpages.body_elements(webpages.elements(t.pages.df)))
-    dominant = webpages.classify(rows).where("signature is not null")
-    return webpages.data_items(rows, dominant, webpages.fields(rows, dominant))
+    _, rows, classified, found = _explored(t)
+    return webpages.data_items(rows, classified.where("signature is not null"), found)
+
+
+@query()
+def web_extracted_data(t: Tables):
+    _, rows, classified, found = _explored(t)
+    return webpages.extracted_data(rows, classified.where("signature is not null"), found)
+
+
+@query()
+def web_titles(t: Tables):
+    every = webpages.elements(t.pages.df)
+    return webpages.titles(every).join(webpages.descriptions(every), "page_id", "full")
+
+
+@query()
+def web_links(t: Tables):
+    return webpages.child_links(webpages.body_elements(webpages.elements(t.pages.df)), t.pages.df)
 
 
 @query()
 def web_summary(t: Tables):
-    rows = webpages.with_signature(webpages.body_elements(webpages.elements(t.pages.df)))
-    return webpages.summary(webpages.classify(rows), webpages.child_links(rows, t.pages.df))
+    every, rows, classified, found = _explored(t)
+    return webpages.summary(classified, webpages.child_links(rows, t.pages.df), webpages.data_items(rows, classified.where("signature is not null"), found), webpages.titles(every))
+
+
+@query()
+def web_overall(t: Tables):
+    _, rows, classified, found = _explored(t)
+    return webpages.overall(classified, webpages.data_items(rows, classified.where("signature is not null"), found))
+
+
+@query()
+def web_crawl(t: Tables):
+    """From the first page of each host, as far as links between the table's pages lead."""
+    rows = webpages.body_elements(webpages.elements(t.pages.df))
+    first = t.pages.df.where("url is not null").groupBy(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)).agg(F.min("url").alias("url"))
+    return webpages.crawl(t.pages.df, webpages.child_links(rows, t.pages.df), first.select("url"), budget=None)

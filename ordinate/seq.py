@@ -28,11 +28,12 @@ class Seq(Core):
     ``df`` holds the items' columns and hidden key columns; ``keys`` says how they
     sort.  The first ``sorted_by`` keys come from order_by and then_by, the rest
     break ties, so sorts are stable.  Nothing runs before a terminal, except
-    that positions in long sequences need a count.
+    that positions are made, and written, when an operator first needs them.
+    ``dense``: the only key is the rows' position, which the next operator reuses.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[Key], columns: Sequence[str], sorted_by: int = 0):
-        self._df, self.keys, self.columns, self.sorted_by = df, tuple(keys), tuple(columns), sorted_by
+    def __init__(self, df: DataFrame, keys: Sequence[Key], columns: Sequence[str], sorted_by: int = 0, dense: bool = False):
+        self._df, self.keys, self.columns, self.sorted_by, self.dense = df, tuple(keys), tuple(columns), sorted_by, dense
 
     @classmethod
     def of(cls, df: DataFrame, order: Sequence[str | Column] | str = ()) -> Seq:
@@ -48,11 +49,11 @@ class Seq(Core):
     def item(self) -> Column:
         return self.row().item()
 
-    def with_rows(self, df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[Key] | None = None, sorted_by: int | None = None) -> Seq:
-        return Seq(df, self.keys if keys is None else keys, self.columns if columns is None else columns, self.sorted_by if sorted_by is None else sorted_by)
+    def with_rows(self, df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[Key] | None = None, sorted_by: int | None = None, dense: bool = False) -> Seq:
+        return Seq(df, self.keys if keys is None else keys, self.columns if columns is None else columns, self.sorted_by if sorted_by is None else sorted_by, dense)
 
     def projected(self, made: dict[str, Column]) -> Seq:
-        return self.with_rows(self._df.select(*[c.alias(n) for n, c in made.items()], *[n for n, _ in self.keys]), list(made))
+        return self.with_rows(self._df.select(*[c.alias(n) for n, c in made.items()], *[n for n, _ in self.keys]), list(made), dense=self.dense)
 
     def need_order(self, what: str) -> None:
         if self._df.isStreaming:
@@ -63,9 +64,11 @@ class Seq(Core):
     def positioned(self, what: str) -> tuple[Seq, str]:
         """The same sequence with its position as the only key."""
         self.need_order(what)
+        if self.dense:
+            return self, self.keys[0][0]
         name = hidden()
         df = with_position(self._df, self.keys, name).select(*[F.col(f"`{c}`") for c in self.columns], name)
-        return Seq(df, [(name, False)], self.columns), name
+        return Seq(df, [(name, False)], self.columns, dense=True), name
 
     @property
     def df(self) -> DataFrame:

@@ -37,7 +37,7 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, str(SF)).count() >= 0
+    assert QUERIES[name](spark, str(SF)).count() > 0
 
 
 @pytest.mark.parametrize("name, tables", [("full_outer_join_whole", ("orders", "lineitem")), ("cumulative_product_whole", ("lineitem",))])

@@ -182,6 +182,51 @@ def test_buckets_change_nothing(spark, monkeypatch, size):
     assert seen() == whole
 
 
+def test_positions_of_few_values_are_spread(spark):
+    """Three values, falling: partitions are bounded by all keys, and none holds more than twice its share."""
+    s = Seq.of(spark.range(40_000).selectExpr("id", "cast(id % 3 as int) AS flag"), ("id",)).order_by_descending("flag")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or these few rows are one partition
+    kept = position.numbered(s._df, s.keys, "m")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in kept.groupBy(F.shiftright("m", position.LOCAL_BITS)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * 40_000 / len(sizes)
+    found = s.indexed("at").orderBy("at").collect()
+    assert [r["at"] for r in found] == list(range(40_000)) and [(r["flag"], r["id"]) for r in found] == sorted(((k % 3, k) for k in range(40_000)), key=lambda x: (-x[0], x[1]))
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_skip_brings_no_rows_together(spark, monkeypatch, most):
+    from ordinate.operators import core
+
+    monkeypatch.setattr(core, "MOST_BY_BOUND", most)
+    s = Seq.of(spark.range(3000).withColumn("k", F.when(F.col("id") % 7 > 0, F.col("id") % 7)), ("id",)).order_by("k")
+    order = sorted(range(3000), key=lambda x: (x % 7, x))
+    ids = lambda q: [r["id"] for r in q.to.list()]
+    assert ids(s.skip(25)) == order[25:] and ids(s.take(-25)) == order[:-25] and ids(s.skip(2999)) == order[2999:] and ids(s.skip(3000)) == ids(s.skip(5000)) == [] and ids(s.skip(20).take(10)) == order[20:30]
+    plan = s.skip(25)._df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Offset" not in plan and "CollectLimit" not in plan
+    if not most:
+        assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_positions_are_made_once(spark, monkeypatch):
+    made = []
+    real = position.numbered
+    monkeypatch.setattr(position, "numbered", lambda *a: made.append(1) or real(*a))
+    s = Seq.of(spark.range(50), ("id",)).stats.lag(1, selector="id").stats.cumulative_sum("id").select_with_index()
+    assert [r["index"] for r in s.to.list()] == list(range(50)) and len(made) == 1
+
+
+def test_no_limits_on_depth_and_steps(spark):
+    s = sources.from_iterable(spark, [0, 450, 995], "bigint")
+    found = s.util.unfold("value", lambda x: F.when(x < 1000, x + 1)).to.list()
+    assert [r for r in found] == [*range(0, 1001), *range(450, 1001), *range(995, 1001)]
+    with pytest.raises(ValueError):
+        s.util.unfold("value", lambda x: x + 1, most=300)
+    one = sources.from_iterable(spark, [1], "bigint")
+    assert one.util.flatten_deep(lambda r: F.array(F.array(F.array(r.value)))).to.list() == [1]
+
+
 def test_order_is_required(spark):
     s = Seq.of(spark.range(3))
     assert s.where(lambda r: r.id > 0).to.count() == 2
