@@ -47,8 +47,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result but the last is written to the shared folder and read again."""
+    """Apply all stages to documents; each result but the last is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last but one stays, as the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -56,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                delete(spark, f"{folder}/{k - 1}")
     return docs
