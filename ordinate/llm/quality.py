@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ BAD, ABSTAIN, GOOD = 0, 1, 2
 SYMBOLS = [ord(c) for c in "!#$%&*<=>@\\^_{|}~"]
 #: Bytes of ASCII signs, and a word of signs only, without letters and digits.
 SIGNS = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
-SIGNS_ONLY = lambda word: not word[0].isalnum() and not any(map(str.isalnum, word))
+SIGNS_ONLY = re.compile(r"(?<!\S)(?:[^\w\s]|_)++(?!\S)")
 #: A figure's weight in the scorer beside the text's n-grams, which have unit length.
 FIGURE = 0.25
 
@@ -58,7 +59,7 @@ def statistics(text: str) -> tuple[float, ...]:
         upper / max(upper + lower, 1),
         nothing if len(lines) < 3 else 1 - len(set(lines)) / len(lines),
         nothing if n < 5 else float(np.count_nonzero(h[1:] == h[:-1])) / n,
-        sum(map(SIGNS_ONLY, words)) / n,
+        len(SIGNS_ONLY.findall(text)) / n,
         nothing if n < 12 else 1 - len(np.unique(triples)) / len(triples),
         float(np.count_nonzero(sign[1:] & sign[:-1])) / n,
         abs(len(text) / n - 6.5),
@@ -87,10 +88,10 @@ def votes(figures: tuple[float, ...]) -> tuple[int, ...]:
     )
 
 
-def pattern(text: str | None) -> int:
+def pattern(text: str | None, figures: tuple[float, ...] | None = None) -> int:
     """All votes as one number."""
     out = 0
-    for v in votes(statistics(text or "")):
+    for v in votes(figures or statistics(text or "")):
         out = 3 * out + v
     return out
 
@@ -122,14 +123,14 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
     return p, right
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, figures: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: n-grams of the raw text, case and signs included, with damped counts of unit length, and hashed (figure, size class) pairs."""
     a = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     count = np.bincount(ngrams(a, SIZES, BITS), minlength=1 << BITS)
     index = np.flatnonzero(count)
     value = np.log1p(count[index])
     value = value / max(float(np.sqrt((value * value).sum())), 1e-9)
-    classes = [(k, round(2 * math.log2(x + 0.01))) for k, x in enumerate(statistics(text)) if x == x and k]  # but for the length
+    classes = [(k, round(2 * math.log2(x + 0.01))) for k, x in enumerate(figures or statistics(text)) if x == x and k]  # but for the length
     extra = np.array([((k * 1009 + c + 64) * 0x9E3779B97F4A7C15 >> (64 - BITS)) & ((1 << BITS) - 1) for k, c in classes], np.int64)
     return np.concatenate([index, extra]), np.concatenate([value, np.full(len(extra), FIGURE)])
 
@@ -185,16 +186,17 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     def make():
         weight, bias, posterior = model["weight"], model["bias"], model["posterior"]
 
-        def score(text):
+        def score(text, figures):
             if not (text and text.strip()):
                 return 0.0
-            i, x = features(text)
+            i, x = features(text, figures)
             return float(1 / (1 + np.exp(-np.clip(bias + weight[i] @ x, -30, 30))))
 
         def run(texts):
-            p = [pattern(t) for t in texts]
+            figures = [statistics(t or "") for t in texts]
+            p = [pattern(t, f) for t, f in zip(texts, figures)]
             voted = ["".join("-0+"[v] for v in row) for row in expand(np.array(p, np.int64)).tolist()] if p else []
-            return [pa.array(voted, pa.string()), pa.array([posterior.get(x, 0.5) for x in p], pa.float64()), pa.array([score(t) for t in texts], pa.float64())]
+            return [pa.array(voted, pa.string()), pa.array([posterior.get(x, 0.5) for x in p], pa.float64()), pa.array([score(t, f) for t, f in zip(texts, figures)], pa.float64())]
 
         return run
 
