@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ordinate.plans.checkpoints import checkpoint, shared_folder
+
 #: Texts that are Python objects at a time, in bytes; a batch comes in slices of about so many.
 SLICE_BYTES = 4_000_000
 #: Tasks over the texts of a bounded sample.
@@ -33,20 +34,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ordinate-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more rows than that; counting stops beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -20,11 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinate.llm.common import at_most, checkpoint, fresh, map_column, table
+from ordinate.llm.common import checkpoint, fresh, map_column, table
 
 THRESHOLD = 3
-#: So many (id, text hash) pairs at most are broadcast; 16 bytes each.
-BROADCAST_ROWS = 2_000_000
+#: (id, text hash) pairs are broadcast up to so many bytes.
+BROADCAST_BYTES = 32_000_000
+#: A key is hot with more than LEAST_HOT rows and more than a HOT_SHARE-th of all, so that at most HOT_SHARE are; hot anchors are spread over SALTS.
+HOT_SHARE, LEAST_HOT, SALTS = 1000, 10_000, 64
+#: Shingles of a text whose bits are in memory at a time.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -39,10 +43,12 @@ def fingerprint(text: bytes | None) -> int:
     joined = b" ".join(words)
     starts = np.zeros(n + 1, np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
-    hashes = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[: n - 2].tolist(), (starts[3:] - 1).tolist())])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
-    over = 2 * bits.sum(axis=0, dtype=np.int32) > n - 2
-    return int.from_bytes(np.packbits(over).tobytes(), "big", signed=True)
+    first, last = starts[: n - 2].tolist(), (starts[3:] - 1).tolist()
+    total = np.zeros(64, np.int64)
+    for k in range(0, n - 2, BLOCK):
+        hashes = b"".join([digest(joined[s:e], 42) for s, e in zip(first[k : k + BLOCK], last[k : k + BLOCK])])
+        total += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > n - 2).tobytes(), "big", signed=True)
 
 
 def _make():
@@ -50,7 +56,7 @@ def _make():
 
 
 def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
-    return map_column(docs, text, f"`{name}` long", _make, binary=True)
+    return map_column(docs, text, f"`{name}` long", _make, binary=True, drop=True)
 
 
 def _anchors(fp: Column, half: int) -> tuple[Column, Column]:
@@ -75,7 +81,31 @@ def linked_pairs(classes: DataFrame, fp: str = "fp") -> DataFrame:
     homes = classes.select(F.explode(F.array(*[h for h, _ in both])).alias("anchor"), F.col(fp).alias("a"))
     reach = classes.select(F.explode(F.concat(*[r for _, r in both])).alias("anchor"), F.col(fp).alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)
-    return homes.join(reach, "anchor").where(near).select("a", "b").distinct()
+    hot = hot_keys(homes.groupBy("anchor").agg(F.count("*").alias("n")), "anchor")
+    if not hot:
+        return homes.join(reach, "anchor").where(near).select("a", "b").distinct()
+    at = F.col("anchor").isin(hot)
+    salted = homes.where(at).withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    spread = reach.where(at).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = homes.where(~at).join(reach.where(~at), "anchor").select("a", "b").unionByName(salted.join(spread, ["anchor", "salt"]).select("a", "b"))
+    return found.where(near).distinct()
+
+
+def hot_keys(counted: DataFrame, key: str, n: str = "n") -> list:
+    """The keys that hold more than their share of the rows; ``counted`` has one row for each key.  At most HOT_SHARE, by definition."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    if total <= LEAST_HOT:
+        return []
+    return [r[0] for r in counted.where((F.col(n) > LEAST_HOT) & (F.col(n) * HOT_SHARE > total)).select(key).collect()]
+
+
+def join_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with what their class (fp, n, ...) has; the rows of hot classes don't move, as those classes are broadcast."""
+    hot = hot_keys(classes, "fp")
+    if not hot:
+        return rows.join(classes, "fp")
+    at = F.col("fp").isin(hot)
+    return rows.where(~at).join(classes.where(~at), "fp").unionByName(rows.where(at).join(F.broadcast(classes.where(at)), "fp"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -101,18 +131,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(keys: DataFrame) -> DataFrame:
-    """(fp, n_near, component_id, root) for each fingerprint among ``keys`` (doc_id, fp).
+    """(fp, n, n_near, component_id, best) for each fingerprint among ``keys`` (doc_id, mark, fp).
 
-    n_near counts a row's links: other rows of its class, and rows of linked classes.
+    n: its rows.  n_near counts a row's links: other rows of its class, and rows
+    of linked classes.  best: the least (doc_id, mark) of its component.
     """
-    classes = checkpoint(keys.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
+    classes = checkpoint(keys.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("first")))
     pairs = checkpoint(linked_pairs(classes))
     both = pairs.union(pairs.select("b", "a")).toDF("fp", "other")
     linked = both.join(classes.select(F.col("fp").alias("other"), "n"), "other").groupBy("fp").agg(F.sum("n").alias("linked"))
     roots = components(pairs).select(F.col("node").alias("fp"), "root")
     whole = checkpoint(classes.join(linked, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    named = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    return whole.join(named, "root").select("fp", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"), "component_id", "root")
+    named = whole.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("best"))
+    return checkpoint(whole.join(named, "root").select("fp", "n", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_near"), "component_id", "best"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -120,12 +151,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     Null and empty texts have fingerprint zero and link like any other.  Rows
     are documents, so rows that repeat an id link to each other.  A null id is
-    kept and never names a component unless all its ids are null.  Other columns
-    of ``docs`` aren't read.  An empty table gives no rows.
+    kept and never names a component unless all its ids are null.  Very long
+    texts are hashed whole, in blocks of shingles; a bit set in exactly half the
+    hashes is 0.  Other columns of ``docs`` aren't read, whatever their names.
+    An empty table gives no rows.
     """
-    keys = checkpoint(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "text", "fp").select("doc_id", "fp"))
-    found = near_classes(keys)
-    return keys.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    keys = checkpoint(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "text", "fp").select("doc_id", F.lit(0).alias("mark"), "fp"))
+    return join_classes(keys, near_classes(keys)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -133,21 +165,21 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     A null id is less than any other.  Rows that repeat both id and text are one
     document, of which one row stays.  Columns stay as they are.  What goes is
-    broadcast if it is small (BROADCAST_ROWS) and joined by shuffle otherwise.
+    broadcast if it is small (BROADCAST_BYTES) and joined by shuffle otherwise.
+    An empty table gives no rows.
     """
     (mark,) = fresh(docs, "text_hash")
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     keys = checkpoint(with_fingerprint(narrow, "text", "fp").select("doc_id", "mark", "fp"))
-    group = near_classes(keys).select("fp", "root")
-    rows = keys.join(group, "fp").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
-    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
-    judged = checkpoint(rows.join(best, "root").select("doc_id", "mark", "n", (F.struct("doc_id", "mark") == F.col("best")).alias("stays")))
+    judged = join_classes(keys, near_classes(keys).select("fp", "n", "best")).select("doc_id", "mark", (F.struct("doc_id", "mark") == F.col("best")).alias("stays"))
+    judged = checkpoint(judged.groupBy("doc_id", "mark", "stays").agg(F.count("*").alias("n")))
     gone = judged.where(~F.col("stays")).select("doc_id", "mark")
     repeated = judged.where("stays and n > 1").select("doc_id", "mark")
 
     def pick(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        small = F.broadcast(right) if at_most(right, BROADCAST_ROWS) else right
-        return left.join(small, left[doc_id].eqNullSafe(small["doc_id"]) & (left[mark] == small["mark"]), how)
+        small = right.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + 16), F.lit(0))).first()[0] <= BROADCAST_BYTES
+        other = F.broadcast(right) if small else right
+        return left.join(other, left[doc_id].eqNullSafe(other["doc_id"]) & (left[mark] == other["mark"]), how)
 
     marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
     kept = pick(marked, gone, "left_anti")

@@ -60,9 +60,9 @@ def test_fingerprints_and_links(spark):
     assert simhash.near_duplicates(docs.where("doc_id < 0")).count() == 0 and simhash.keep_one_of_each(docs.where("doc_id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("most", [simhash.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("most", [simhash.BROADCAST_BYTES, -1])
 def test_repeated_and_null_ids(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
     rows = [(1, "a b c d", None, None, 7)] * 3 + [(None, "a b c d", None, None, 7), (2, "q w e r t", "l", None, 9), (2, "something else entirely here", "l", "s", 1)]
     kept = simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a b c d"), (2, "q w e r t"), (2, "something else entirely here")]
@@ -70,7 +70,23 @@ def test_repeated_and_null_ids(spark, monkeypatch, most):
     assert [(r["doc_id"], r["text"]) for r in repeated] == [(1, "a b c d")]
 
 
-def test_no_pair_is_lost(spark):
+def test_fingerprint_of_a_long_text(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(3000))
+    whole = simhash.fingerprint(text.encode())
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert simhash.fingerprint(text.encode()) == whole and whole & (1 << 64) - 1 == plain_fingerprint(text)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_no_pair_is_lost(spark, monkeypatch, hot):
+    """Also where all anchors and classes are hot."""
+    if hot:
+        monkeypatch.setattr(simhash, "LEAST_HOT", 1)
+        docs = spark.createDataFrame([(k, "same text here" if k % 3 else f"other {k} text {k} of {k}") for k in range(60)], "doc_id long, text string")
+        found = {r["doc_id"]: r["n_near"] for r in simhash.near_duplicates(docs).collect()}
+        links, _ = plain_near([plain_fingerprint(r["text"]) for r in docs.orderBy("doc_id").collect()])
+        assert [found[k] for k in range(60)] == links
     rng = random.Random(9)
     values = set()
     for _ in range(150):
