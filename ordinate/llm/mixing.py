@@ -92,7 +92,7 @@ terms AS (
 sums AS (SELECT source, list(below ORDER BY k) AS below FROM terms GROUP BY source),
 drawn AS (
   SELECT d.*, ('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u, s.below
-  FROM documents d JOIN sums s USING (source)
+  FROM documents d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source
 ),
 copies AS (
   SELECT doc_id, text, lang, source, n_chars, unnest(range(1, len(list_filter(below, lambda b: b < u)) + 1)) AS copy FROM drawn

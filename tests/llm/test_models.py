@@ -161,3 +161,15 @@ def test_training_of_repeated_ids_is_definite(spark):
     assert np.array_equal(once["bucket"], again["bucket"]) and np.allclose(once["weight"], again["weight"])
     a, b = langid.language_profiles(docs), langid.language_profiles(docs.orderBy(F.desc("text")))
     assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def test_ties(spark):
+    """Of equally near languages the first name wins with score 0; a score of one half counts as good, and as toxic."""
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, None), (3, "x" * 200_000)], "doc_id long, text string")
+    same = langid.profile(*langid.counts("the dog ran", hashing.letters()), 100)
+    found = {r["doc_id"]: r for r in langid.identify(docs, {"a": same, "b": same}).collect()}
+    assert (found[1]["lang_pred"], found[1]["score"]) == ("a", 0.0) and found[2]["lang_pred"] == "und" and found[3]["lang_pred"] == "a"
+    even = {"posterior": {}, "accuracy": None, "weight": np.zeros(1 << quality.BITS), "bias": 0.0}
+    assert {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score_documents(docs, even).collect()} == {1: (0.5, 1), 2: (0.0, 0), 3: (0.5, 1)}
+    half = {"bucket": np.zeros(0, np.int64), "weight": np.zeros(0), "bias": 0.0}
+    assert all((r["score"], r["predicted"]) == (0.5, 1) for r in toxicity.score_documents(docs, half).collect())

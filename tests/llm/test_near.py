@@ -204,6 +204,24 @@ def test_pipeline(spark):
     assert all(not secrets.base_spans(r["text"]) for r in found)
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+def test_stages_on_odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, and an empty table."""
+    long = " ".join(f"word{k}" for k in range(200_000))
+    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (None, "the cat sat on the mat by the door", "en", "s", 34), (4, long, "de", "s", len(long)), (5, "das ist gut so wie es ist", "de", "s", 25), (5, "das ist gut so wie es ist", "de", "s", 25), (6, 'token = "abcdefgh12345"', None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in ("fp", "copy", "text_hash", "score", "Doc_Key", "keep")})
+    for odd, left in ((docs, {None, 4, 5, 6}), (docs.where("doc_id < 0"), set())):
+        now = odd
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            now = stage(spark, now, str(SF))
+            assert now.columns == docs.columns
+        kept = now.collect()
+        assert {r["doc_id"] for r in kept} - {1, 2} == left and len({r["doc_id"] for r in kept}) == len(kept) == len(left) + bool(left)  # of the empty texts one stays
+        assert all(r["copy"] == "mine" and (r["doc_id"] != 6 or r["text"] == "[REDACTED]" or "abcdefgh12345" not in r["text"]) for r in kept) and all(r["text"] == long for r in kept if r["doc_id"] == 4)
+        mixed = corpus_pipeline.STAGES[-1][1](spark, now, str(SF))
+        assert mixed.columns[: len(docs.columns)] == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in kept}
+
+
 def test_registered():
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
