@@ -17,7 +17,7 @@ from pyspark.sql import Window
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SCHEMA = "page_id long, node int, parent int, depth int, path array<int>, tag string, classes array<string>, text string, n_children int, has_links boolean, href string, content string"
+SCHEMA = "page_id long, node int, parent int, depth int, path array<int>, steps array<string>, tag string, classes array<string>, text string, n_children int, has_links boolean, href string, content string"
 KEYWORDS = {
     "product": ("price", "cart", "add", "sku", "sale", "$", "€", "£"), "article": ("author", "published", "updated", "by", "copyright", "comments"),
     "contact": ("contact", "address", "phone", "email", "hours", "location"),
@@ -25,7 +25,7 @@ KEYWORDS = {
 
 
 class _Builder(HTMLParser):
-    """Flat elements: [parent, depth, path, tag, attributes, texts, children, places]."""
+    """Flat elements: [parent, depth, path, tag, attributes, texts, children, steps]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -38,7 +38,9 @@ class _Builder(HTMLParser):
         if parent >= 0:
             self.nodes[parent][6] += 1
         path = [*(self.nodes[parent][2] if parent >= 0 else []), place]
-        self.nodes.append([parent, len(path) - 1, path, tag, dict(attrs), [], 0])
+        attributes = dict(attrs)
+        step = ".".join([tag, *(attributes.get("class") or "").split()[:2]])
+        self.nodes.append([parent, len(path) - 1, path, tag, attributes, [], 0, [*(self.nodes[parent][7] if parent >= 0 else []), step]])
         if tag not in VOID:
             self.stack.append(len(self.nodes) - 1)
 
@@ -61,7 +63,7 @@ class _Builder(HTMLParser):
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """One row for each element in document order: page_id, node, parent (-1: none), depth, path, tag, classes, text, n_children, has_links, href, content (of a description)."""
+    """One row for each element in document order: page_id, node, parent (-1: none), depth, path (places), steps (tags with two classes), tag, classes, text, n_children, has_links, href, content (of a description)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,9 +71,9 @@ def elements(pages: DataFrame) -> DataFrame:
                 builder = _Builder()
                 builder.feed(html or "")
                 builder.close()
-                rows = [(page, n, x[0], x[1], x[2], x[3], (x[4].get("class") or "").split(), "".join(x[5]), x[6], x[3] == "a" and "href" in x[4], x[4].get("href") if x[3] == "a" else None, x[4].get("content") if x[3] == "meta" and x[4].get("name") == "description" else None) for n, x in enumerate(builder.nodes)]
+                rows = [(page, n, x[0], x[1], x[2], x[7], x[3], (x[4].get("class") or "").split(), "".join(x[5]), x[6], x[3] == "a" and "href" in x[4], x[4].get("href") if x[3] == "a" else None, x[4].get("content") if x[3] == "meta" and x[4].get("name") == "description" else None) for n, x in enumerate(builder.nodes)]
                 if rows:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[p.split()[0] for p in SCHEMA.split(", ")])
 
     return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, SCHEMA)
@@ -134,32 +136,31 @@ def classify(rows: DataFrame) -> DataFrame:
     return typed.select("page_id", F.when(refined, F.concat_ws("_", named, "base")).otherwise(F.col("base")).alias("type"), F.when(refined, F.least(F.lit(0.95), F.col("sure") + 0.1)).otherwise(F.col("sure")).alias("confidence"), "signature", "n", "links")
 
 
+def _within(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """Elements in or under tops (page_id, top_node, top), with the field path from there: an equi-join of every prefix of an element's path."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))
+    spread = rows.where("text <> ''").select("page_id", "node", "text", "steps", F.explode(prefixes).alias("top"))
+    path = F.array_join(F.slice("steps", F.size("top"), F.size("steps")), ".")
+    return spread.join(tops, ["page_id", "top"]).select("page_id", "top_node", "node", "text", path.alias("field_path"))
+
+
 def fields(rows: DataFrame, dominant: DataFrame, samples: int = 10) -> DataFrame:
-    """Text paths within ten elements of each page's dominant pattern, found in half of them at least: page_id, field_path, rate."""
+    """Text paths within ten elements of each page's dominant pattern, found in half of them at least: page_id, field_path, rate.
+
+    An element whose text is all in one child is only its container.
+    """
     order = Window.partitionBy("page_id").orderBy("node")
-    chosen = rows.join(dominant.select("page_id", "signature"), ["page_id", "signature"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples).select("page_id", F.col("path").alias("top"))
-    step = F.concat_ws(".", F.col("tag"), F.array_join(F.slice("classes", 1, 2), "."))
-    below = rows.withColumn("step", F.regexp_replace(step, r"\.$", "")).join(chosen, "page_id").where(F.slice("path", 1, F.size("top")) == F.col("top"))
-    same = rows.select("page_id", F.col("parent").alias("node"), F.col("text").alias("child_text")).distinct()
-    container = below.join(same, ["page_id", "node"], "left").groupBy("page_id", "top", "node").agg(F.bool_or(F.col("child_text") == F.col("text")).alias("container"))
-    names = below.select("page_id", "top", F.col("path").alias("p"), "step")
-    full = below.select("page_id", "top", "node", "text", "path").join(names, ["page_id", "top"]).where(F.slice("path", 1, F.size("p")) == F.col("p"))
-    paths = full.groupBy("page_id", "top", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.size("p").alias("d"), "step"))), lambda x: x["step"]), ".").alias("field_path"), F.first("text").alias("text"))
-    kept = paths.join(container, ["page_id", "top", "node"]).where("text <> '' and not coalesce(container, false)")
+    chosen = rows.join(dominant.select("page_id", "signature"), ["page_id", "signature"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples).select("page_id", F.col("node").alias("top_node"), F.col("path").alias("top"))
+    same = rows.select("page_id", F.col("parent").alias("node"), "text").distinct()
+    kept = _within(rows, chosen).join(same, ["page_id", "node", "text"], "left_anti")
     total = chosen.groupBy("page_id").agg(F.count("*").alias("samples"))
     return kept.groupBy("page_id", "field_path").agg(F.count("*").alias("n")).join(total, "page_id").where(F.col("n") >= F.col("samples") * 0.5).select("page_id", "field_path", (F.col("n") / F.col("samples")).alias("rate"))
 
 
 def data_items(rows: DataFrame, dominant: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each element of a page's dominant pattern that has a text in a found field: page_id, node, items (field path -> text of its first element there)."""
-    step = F.regexp_replace(F.concat_ws(".", F.col("tag"), F.array_join(F.slice("classes", 1, 2), ".")), r"\.$", "")
     tops = rows.join(dominant.select("page_id", "signature"), ["page_id", "signature"]).select("page_id", F.col("node").alias("top_node"), F.col("path").alias("top"))
-    below = rows.withColumn("step", step).join(tops, "page_id").where(F.slice("path", 1, F.size("top")) == F.col("top")).select("page_id", "top_node", "node", "path", "step", "text")
-    above = below.select("page_id", "top_node", F.col("path").alias("p"), F.col("step").alias("s"))
-    full = below.join(above, ["page_id", "top_node"]).where(F.slice("path", 1, F.size("p")) == F.col("p"))
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(F.size("p").alias("d"), "s"))), lambda x: x["s"])
-    texts = full.groupBy("page_id", "top_node", "node").agg(F.array_join(steps, ".").alias("field_path"), F.first("text").alias("text")).where("text <> ''")
-    first = texts.join(found.select("page_id", "field_path"), ["page_id", "field_path"]).groupBy("page_id", "top_node", "field_path").agg(F.min_by("text", "node").alias("text"))
+    first = _within(rows, tops).join(found.select("page_id", "field_path"), ["page_id", "field_path"]).groupBy("page_id", "top_node", "field_path").agg(F.min_by("text", "node").alias("text"))
     return first.groupBy("page_id", F.col("top_node").alias("node")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_path", "text")))).alias("items"))
 
 
