@@ -35,7 +35,8 @@ def test_same_rows(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+# by the rule of web_extracted_data these tables' pages have none; test_webpages compares it with plain trees
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"web_extracted_data"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, str(SF)).count() > 0
 
