@@ -163,12 +163,12 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
         return run
 
     def train(batches):
-        rows_ = sorted(((h, y, np.array(i), np.array(x)) for b in batches for h, y, i, x in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        rows_ = sorted(((h, y, np.array(i), np.array(x)) for b in batches for h, y, i, x in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])[:rows]
         w, b = fit_logistic([i for _, _, i, _ in rows_], np.array([y for _, y, _, _ in rows_]), np.ones(len(rows_)), np.full(1 << BITS, 4.0), [x for *_, x in rows_], l2=1e-2)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w * 4.0, b))], pa.binary())], names=["model"])
 
     # distinct texts: a hot text would otherwise fill the sample
-    least = hash_sample(docs, ["text"], rows, sum(t for *_, t in counted)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(rows)
+    least = hash_sample(docs, ["text"], rows, sum(t for *_, t in counted)).groupBy("h").agg(F.min("text").alias("text"))
     sample = map_column(least.select("h", "text").repartition(SAMPLE_TASKS, "h"), "text", "y double, index array<int>, value array<float>", extract, drop=True)
     weight, bias = pickle.loads(sample.repartition(1).mapInArrow(train, "model binary").first()["model"])
     return {"posterior": by_pattern, "accuracy": accuracy, "weight": weight, "bias": bias}

@@ -85,9 +85,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     first = [hash_sample(usable.where(F.col("label") == c), ["doc_id"], 2 * per_class, size.get(c, 0)).orderBy(*order).limit(2 * per_class) for c in (0, 1)]
     # bounded by four times per_class, so it can be broadcast
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(first[0].union(first[1])), "doc_id").where("text is not null")
-    one = joined.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
-    return ranked.where(F.col("r") <= per_class).select("doc_id", "text", "label")
+    one = checkpoint(joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).repartition(SAMPLE_TASKS, "doc_id"))
+    # ids only are ranked; texts stay where they are
+    ranked = one.select("doc_id", "label").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
+    return one.join(F.broadcast(ranked.where(F.col("r") <= per_class).select("doc_id")), "doc_id").select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAIN_ROWS_PER_CLASS) -> dict:
@@ -96,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     Its texts are read once and stay spread over tasks: they count their
     features in parallel, and then send those of the chosen ones, MOST a text at most.
     """
-    sample = checkpoint(labelled_sample(docs, labels, label, per_class).repartition(SAMPLE_TASKS, "doc_id"))
+    sample = labelled_sample(docs, labels, label, per_class)
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return constant(float(max(total, default=0)))
