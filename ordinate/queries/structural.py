@@ -283,13 +283,22 @@ def web_extracted_data(t: Tables):
     return webpages.extracted_data(rows, classified.where("signature is not null"), found)
 
 
-@query()
+# these pages' titles and links are plain enough for patterns
+def _unescaped(text: str) -> str:
+    for entity, number in (("&amp;", 1), ("&amp", 1), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#x27;", 39)):
+        text = f"replace({text}, '{entity}', chr({number}))"
+    return f"replace({text}, chr(1), '&')"
+
+
+@query(f"SELECT page_id, trim({_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title, NULL::VARCHAR AS description FROM pages WHERE html LIKE '%<title>%'")
 def web_titles(t: Tables):
     every = webpages.elements(t.pages.df)
     return webpages.titles(every).join(webpages.descriptions(every), "page_id", "full")
 
 
-@query()
+@query(f"""
+SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || {_unescaped("href")} AS link
+FROM (SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE href LIKE '/%'""")
 def web_links(t: Tables):
     return webpages.child_links(webpages.body_elements(webpages.elements(t.pages.df)), t.pages.df)
 
