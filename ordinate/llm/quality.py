@@ -16,7 +16,7 @@ from ordinate.llm.hashing import fit_logistic, ngrams
 
 SIZES, BITS = (1, 2, 3), 14
 #: The linear scorer is fitted on so many distinct documents at most, the first by hash of the text; EM counts all documents.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 LABELLERS = ("length", "symbols", "capitals", "repeated_lines", "repeated_words", "lone_signs", "repeated_triples", "sign_runs", "word_length", "line_ends", "digits", "boilerplate")
 BOILERPLATE = ("lorem ipsum", "click here", "all rights reserved", "enable javascript", "cookie policy", "terms of service", "subscribe now", "buy now")
 BAD, ABSTAIN, GOOD = 0, 1, 2
@@ -24,6 +24,8 @@ SYMBOLS = [ord(c) for c in "!#$%&*<=>@\\^_{|}~"]
 #: Bytes of ASCII signs, and a word of signs only, without letters and digits.
 SIGNS = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 SIGNS_ONLY = re.compile(r"(?<!\S)(?:[^\w\s]|_)++(?!\S)")
+#: Full steps of the scorer's fit.
+STEPS = 120
 #: A figure's weight in the scorer beside the text's n-grams, which have unit length.
 FIGURE = 0.25
 
@@ -51,15 +53,17 @@ def statistics(text: str) -> tuple[float, ...]:
     low = text.lower()
     h = np.fromiter(map(hash, words), np.int64, n)
     triples = (h[:-2] * 31 + h[1:-1]) * 31 + h[2:] if n > 2 else h[:0]
-    # whole signs in a row count as one lone word; a word without a letter or digit has only these bytes
     sign = SIGNS[raw]
+    # a word of signs only starts with one, or with a byte of another script's sign; most texts have no such place
+    starts = (raw[1:] > 32) & (raw[:-1] <= 32) & (sign[1:] | (raw[1:] > 127))
+    maybe = bool(sign[0] or raw[0] > 127 or starts.any())
     return (
         float(n),
         symbols / n,
         upper / max(upper + lower, 1),
         nothing if len(lines) < 3 else 1 - len(set(lines)) / len(lines),
         nothing if n < 5 else float(np.count_nonzero(h[1:] == h[:-1])) / n,
-        len(SIGNS_ONLY.findall(text)) / n,
+        len(SIGNS_ONLY.findall(text)) / n if maybe else 0.0,
         nothing if n < 12 else 1 - len(np.unique(triples)) / len(triples),
         float(np.count_nonzero(sign[1:] & sign[:-1])) / n,
         abs(len(text) / n - 6.5),
@@ -163,8 +167,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
         return run
 
     def train(batches):
-        rows_ = sorted(((h, y, np.array(i), np.array(x)) for b in batches for h, y, i, x in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])[:rows]
-        w, b = fit_logistic([i for _, _, i, _ in rows_], np.array([y for _, y, _, _ in rows_]), np.ones(len(rows_)), np.full(1 << BITS, 4.0), [x for *_, x in rows_], l2=1e-2)
+        rows_ = sorted(((h, y, i.values.to_numpy(), x.values.to_numpy()) for b in batches for h, y, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3))), key=lambda r: r[0])[:rows]
+        w, b = fit_logistic([i for _, _, i, _ in rows_], np.array([y for _, y, _, _ in rows_]), np.ones(len(rows_)), np.full(1 << BITS, 4.0), [x for *_, x in rows_], l2=1e-2, steps=STEPS, rate=0.1)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w * 4.0, b))], pa.binary())], names=["model"])
 
     # distinct texts: a hot text would otherwise fill the sample
