@@ -125,24 +125,24 @@ class Novelty:
         if not any(w.encode() in low for w in CONTEXT):
             return []
         starts, ends = [s for s, _, _ in known], list(accumulate((e for *_, e in known), max))
-        found, tried, run, reported = [], -1, (0, 0), 0
+        found, tried, run, reported = [], set(), (0, 0), set()
         for m in SENSITIVE.finditer(text):
             for c in CANDIDATE.finditer(text, m.end(), m.end() + REACH + LEAST):
                 start = c.start()
-                if start <= tried or start < reported:
+                if start in tried:
                     continue
-                tried = start
+                tried.add(start)
                 if not run[0] <= start < run[1]:  # it may go on beyond what was searched
                     run = (start, CANDIDATE.match(text, start).end())
                 end = run[1]
                 k = bisect_left(starts, end)
-                if k and ends[k - 1] > start:
+                if end in reported or k and ends[k - 1] > start:
                     continue
                 piece = text[start:end]
                 if not of_words(piece) and self.per_character(text, start, end) >= NOVELTY:
                     found.append((start, 3, end))
-                    reported = end
-        return found
+                    reported.add(end)
+        return sorted(found)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -143,6 +143,8 @@ def test_secrets_in_reach_and_of_long_texts():
     assert found(f"authorization: my_long_identifier_name, {secret}") == [secret]
     assert all(found("pwd" + " " * k + secret) == [secret] for k in (1, 52, 56, 64)) and found("pwd" + " " * 65 + secret) == []
     assert found(f"bearer {secret}, {secret[::-1]}") == [secret, secret[::-1]]
+    # a sensitive word within a run that an earlier one reaches, with further runs behind it
+    assert found(f"secret is abstract.access.account.action.active.address.admin_token_{secret} and {secret[::-1]}") == [f"_{secret}", secret[::-1]]
     rng = random.Random(1)
     lines = "\n".join(f'password = "{rng.getrandbits(60):x}" # token holder number {k}' for k in range(170_000))
     began = time.process_time()
