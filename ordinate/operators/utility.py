@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,8 +126,11 @@ class UtilOps:
         self.seq.df.foreach(action)
         return self.seq
 
-    def side_effect(self, name: str, **metrics: Column):
-        """Observe metrics as the query runs, without another pass; see DataFrame.observe."""
+    def side_effect(self, name: str | Observation, **metrics: Column):
+        """Observe metrics as the query runs, without another pass, under a name for listeners or into an Observation.
+
+        A sort above it samples its input first and counts those rows again, so read the rows by ``df`` or observe sums that bear that.
+        """
         return self.seq.with_rows(self.seq._df.observe(name, *[m.alias(n) for n, m in metrics.items()]))
 
     def memoize(self):

@@ -227,6 +227,26 @@ def test_no_limits_on_depth_and_steps(spark):
     assert one.util.flatten_deep(lambda r: F.array(F.array(F.array(r.value)))).to.list() == [1]
 
 
+def test_effects_happen(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    s, seen = sources.from_iterable(spark, [3, 1, 2], "bigint"), Observation("seen")
+    assert s.util.side_effect(seen, n=F.count(F.lit(1)), most=F.max("value")).df.count() == 3 and seen.get == {"n": 3, "most": 3}
+    folder = str(tmp_path)
+    s.util.for_each(lambda row: open(f"{folder}/{row.value}", "w").close())
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["1", "2", "3"]
+    kept = s.util.memoize()
+    assert kept._df.is_cached and kept.to.list() == kept.to.list() == [3, 1, 2]
+    kept._df.unpersist()
+
+
+def test_terminals_of_whole_rows(spark):
+    s = Seq.of(spark.createDataFrame([(2, "b"), (1, None)], "id long, s string"), ("id",))
+    frame = s.to.df()
+    assert list(frame["id"]) == [1, 2] and list(frame.columns) == ["id", "s"] and list(s.to.pandas()) == [1, 2]
+    assert [tuple(r) for r in s.to.list()] == [(1, None), (2, "b")] == [tuple(r) for r in s.to.array()]
+
+
 def test_order_is_required(spark):
     s = Seq.of(spark.range(3))
     assert s.where(lambda r: r.id > 0).to.count() == 2
