@@ -28,8 +28,7 @@ def group_by(t: Tables):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY ALL")
 def group_by_multiple(t: Tables):
-    s = t.lineitem.group.group_by_multiple("l_returnflag", "l_linestatus")
-    return s.select(lambda r: {"l_returnflag": r.l_returnflag, "l_linestatus": r.l_linestatus, "n": F.size(r["items"]).cast("long"), "first": r["items"][0]["l_orderkey"]})
+    return t.lineitem.group.group_by_multiple("l_returnflag", "l_linestatus", n=lambda r: F.count("*"), first=lambda r: F.min(r.l_orderkey))
 
 
 @query("SELECT event_type AS key, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
@@ -49,7 +48,7 @@ def pivot_wide(t: Tables):
 
 @query("SELECT o_orderstatus AS key, o_orderpriority AS sub_key, count(*) AS n FROM orders GROUP BY ALL")
 def group_by_nested(t: Tables):
-    return t.orders.select(("o_orderkey", "o_orderstatus", "o_orderpriority")).group.group_by_nested("o_orderstatus", "o_orderpriority").select(lambda r: {"key": r.key, "sub_key": r.sub_key, "n": F.size(r["items"]).cast("long")})
+    return t.orders.select(("o_orderkey", "o_orderstatus", "o_orderpriority")).group.group_by_nested("o_orderstatus", "o_orderpriority", n=lambda r: F.count("*"))
 
 
 @query("SELECT event_id, value > 50 AS side FROM events")

@@ -1,12 +1,14 @@
 """Literal cases, errors, and positions in several buckets."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from ordinate import sources
 from ordinate.plans import position, webpages
+from ordinate.queries import QUERIES
 from ordinate.seq import Seq
 from ordinate.sources.generator import from_json, from_schema, infer_schema
 
@@ -298,3 +300,18 @@ def test_every_matching_element_gives_its_data_items(spark):
     items = webpages.data_items(rows, dominant, webpages.fields(rows, dominant)).orderBy("node").collect()
     assert [r["items"] for r in items] == [{"li.x": f"n{k}p{k}", "li.x.b": f"n{k}", "li.x.i": f"p{k}"} for k in range(13)]
     assert [tuple(r) for r in webpages.titles(every).collect()] == [(1, "Shop")]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_groups_with_aggregates_move_no_rows(spark):
+    """Groups by several keys add up before the exchange, without arrays of whole groups or positions of all rows."""
+    rows = spark.createDataFrame([(k, k % 2, k % 3 if k % 5 else None, "x" * 1000) for k in range(60)], "id long, a long, b long, long string")
+    s = Seq.of(rows, ("id",))
+    made = s.group.group_by_multiple("a", lambda r: r.b, n=lambda r: F.count("*"), first=lambda r: F.min(r.id))
+    whole = s.group.group_by_multiple("a", lambda r: r.b).to.list()
+    assert [tuple(r) for r in made.to.list()] == [(r["a"], r["key2"], len(r["items"]), r["items"][0]["id"]) for r in whole]
+    assert [tuple(r) for r in s.group.group_by_nested("a", "b", n=lambda r: F.count("*")).to.list()] == [(r["a"], r["key2"], len(r["items"])) for r in whole]
+    assert s.group.group_by_multiple(n=lambda r: F.count("*")).to.list() == [60] and s.where(lambda r: r.id < 0).group.group_by_multiple(n=lambda r: F.count("*")).to.list() == []
+    for name in ("group_by_multiple", "group_by_nested"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "ExistingRDD" not in plan
