@@ -1,7 +1,9 @@
 """The page pipeline against plain Python over trees of the same pages."""
 
+import random
 import re
 import statistics
+import time
 from html.parser import HTMLParser
 from pathlib import Path
 from urllib.parse import urljoin, urlsplit
@@ -15,6 +17,8 @@ from ordinate.seq import Seq
 from ordinate.sources import files
 
 SF = Path("/root/testdata/sf0.001")
+#: Queries that need no shuffle of elements.
+PAGE_BY_PAGE = ["web_overall"]
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -215,3 +219,75 @@ def test_files(spark, tmp_path, kind):
 @pytest.mark.parametrize("name", ["web_titles", "web_crawl", "web_overall", "web_summary"])
 def test_registered(spark, name):
     assert QUERIES[name](spark, str(SF)).count() > 0
+
+
+def _random_page(rng):
+    """Nested, unclosed and void elements, words that neighbours lengthen, odd spaces, and sometimes a body."""
+    words = ["price", "cart", "add", "sku", "sale", "by", "author", "a", "bc", " ", "\u00a0", "x y", "\u20ac", "&amp;", "&quot", "LONGER", "\u0130", "address phone", "email ", " hours"]
+    out, names = [], ["div", "li", "p", "a", "b", "body", "title", "br", "ul"]
+    for _ in range(rng.randrange(1, 120)):
+        kind = rng.random()
+        if kind < 0.45:
+            tag = rng.choice(names)
+            classes = rng.choice(["", "", " class='x'", " class='x-y a.b z c'", " class=\"p. b\"", " class"])
+            out.append(f"<{tag}{classes}{rng.choice([' href=/q', ' href', '']) if tag == 'a' else ''}>")
+        elif kind < 0.7:
+            out.append(f"</{rng.choice(names)}>")
+        else:
+            out.append(rng.choice(words))
+    item = rng.choice(["", "<li class=x><a href=/i>n</a><b>by</b></li>", "<div><p class=x-y>price</p><p>x<i>y</i></p>"])
+    return "".join(out[: len(out) // 2]) + item * rng.randrange(12) + "".join(out[len(out) // 2 :])
+
+
+def test_page_by_page_as_tables_of_elements(spark, pages):
+    """The functions that read a page where it is give the rows of those on tables of elements."""
+    rng = random.Random(5)
+    made = [(910000 + k, rng.choice(["http://a.org/x", "http://b.org/", None]), _random_page(rng)) for k in range(150)]
+    both = pages.where("page_id >= 900000").unionByName(spark.createDataFrame(made, "page_id long, url string, html string")).unionByName(pages.where("page_id < 900000").orderBy("page_id").limit(25)).cache()
+    every = webpages.elements(both).cache()
+    rows = webpages.with_signature(webpages.body_elements(every)).cache()
+    classified = webpages.classify(rows).cache()
+    dominant = classified.where("signature is not null")
+    fields = webpages.fields(rows, dominant).cache()
+    items = webpages.data_items(rows, dominant, fields).cache()
+    links = webpages.child_links(rows, both).cache()
+    extracted = webpages.extracted_data(rows, dominant, fields)
+
+    def same(mine, theirs, some=True):
+        assert mine.columns == theirs.columns and [k for _, k in mine.dtypes] == [k for _, k in theirs.dtypes]
+        a, b = (sorted(repr([round(x, 9) if isinstance(x, float) else sorted(x.items()) if isinstance(x, dict) else x for x in r]) for r in df.collect()) for df in (mine, theirs))
+        assert a == b and bool(a) >= some
+
+    same(webpages.page_elements(both), rows)
+    same(webpages.page_patterns(both), webpages.patterns(rows))
+    same(webpages.page_kinds(both), classified)
+    same(webpages.page_fields(both), fields)
+    same(webpages.page_items(both), items)
+    same(webpages.page_extracted(both), extracted)
+    same(webpages.page_links(both), links)
+    overview = webpages.page_overview(both)
+    same(webpages.summed(overview), webpages.summary(classified, links, items, webpages.titles(every)))
+    same(webpages.overall_of(overview), webpages.overall(classified, items))
+
+
+def test_deep_pages_and_slices(monkeypatch):
+    """Keywords, kinds and patterns of a page of 20,000 open elements take time in proportion."""
+    began = time.time()
+    page = webpages._Page("<body>" + "<p>add price cart" * 20_000)
+    assert page.kind[0] == "product_content_list" and page.patterns() and time.time() - began < 20
+    flat = list(webpages._Page("<div><ul><body><li>a<b>b</b></li></body></ul></div>").elements(True))
+    assert [(r[0], r[1], r[2], r[3], r[7]) for r in flat] == [(2, 1, 0, [0, 0, 0], "ab"), (3, 2, 1, [0, 0, 0, 0], "ab"), (4, 3, 2, [0, 0, 0, 0, 1], "b")]
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test data")
+@pytest.mark.parametrize("name", PAGE_BY_PAGE)
+def test_pages_stay_where_they_are(spark, name):
+    """No join, and an exchange only of what is added up."""
+    plan = QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    exchanges = [k for k, x in enumerate(lines) if re.search(r"\bExchange\b", x) and "rangepartitioning" not in x]
+    assert plan.count("MapInArrow") <= (2 if name in ("web_summary", "web_overall") else 1)
+    if name in ("web_summary", "web_overall", "web_links"):
+        assert all("Aggregate" in lines[k + 1] or "WindowGroupLimit" in lines[k + 1] or "TakeOrdered" in "".join(lines[k - 1 : k + 3]) for k in exchanges), plan
+    else:
+        assert "Exchange" not in plan and "Join" not in plan
