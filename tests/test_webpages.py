@@ -18,7 +18,7 @@ from ordinate.sources import files
 
 SF = Path("/root/testdata/sf0.001")
 #: Queries that need no shuffle of elements.
-PAGE_BY_PAGE = ["web_extracted_data", "web_fields", "web_items", "web_overall"]
+PAGE_BY_PAGE = ["web_extracted_data", "web_fields", "web_items", "web_overall", "web_summary"]
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
