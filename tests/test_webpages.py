@@ -18,7 +18,7 @@ from ordinate.sources import files
 
 SF = Path("/root/testdata/sf0.001")
 #: Queries that need no shuffle of elements.
-PAGE_BY_PAGE = ["web_extracted_data", "web_fields", "web_items", "web_overall", "web_summary"]
+PAGE_BY_PAGE = ["web_extracted_data", "web_fields", "web_items", "web_overall", "web_summary", "web_titles"]
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -279,6 +279,13 @@ def test_deep_pages_and_slices(monkeypatch):
     assert [(r[0], r[1], r[2], r[3], r[7]) for r in flat] == [(2, 1, 0, [0, 0, 0], "ab"), (3, 2, 1, [0, 0, 0, 0], "ab"), (4, 3, 2, [0, 0, 0, 0, 1], "b")]
 
 
+def test_titles_as_in_sql(spark):
+    """A reference that is cut short stays, as the query's SQL has it; others are resolved."""
+    texts = ["a &quot", "a &quot; b", "a &amp", "a &amp;lt; b", "&lt", "&#x27;x", "&#x27", "caf&eacute; R&D", "&ampx &gt;"]
+    made = spark.createDataFrame([(k, f"<head><title>{x}</title></head>") for k, x in enumerate(texts)], "page_id long, html string")
+    assert [r["title"] for r in webpages.page_titles(made).orderBy("page_id").collect()] == ["a &quot", 'a " b', "a &", "a &lt; b", "&lt", "'x", "&#x27", "caf\u00e9 R&D", "&x >"]
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
 @pytest.mark.parametrize("name", PAGE_BY_PAGE)
 def test_pages_stay_where_they_are(spark, name):
