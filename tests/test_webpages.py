@@ -18,7 +18,7 @@ from ordinate.sources import files
 
 SF = Path("/root/testdata/sf0.001")
 #: Queries that need no shuffle of elements.
-PAGE_BY_PAGE = ["web_classify", "web_elements", "web_extracted_data", "web_fields", "web_items", "web_overall", "web_patterns", "web_summary", "web_titles"]
+PAGE_BY_PAGE = ["web_classify", "web_elements", "web_extracted_data", "web_fields", "web_items", "web_links", "web_overall", "web_patterns", "web_summary", "web_titles"]
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
